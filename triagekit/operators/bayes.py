@@ -17,15 +17,17 @@ import math
 from dataclasses import asdict, dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagekit.constants import NB_ALPHA, NB_MIN_DF, NB_NGRAM
 from triagekit.errors import LimitExceeded, ModelNotFound
 from triagekit.operators.lookup import TermTable, join_terms
 from triagekit.operators.profile import label_list
-from triagekit.operators.ranking import rank_classes
-from triagekit.operators.vectorize import DocFrequency, TermRule, doc_frequency, doc_norms, term_rows
+from triagekit.operators.ranking import let, rank_classes
+from triagekit.operators.vectorize import (
+    DocFrequency, TermRule, doc_frequency, doc_norms, slots, term_rows, train_df, train_idf,
+)
 from triagekit.sources.store import materialize
 
 MAX_HEADER_VALUES = 4_000_000
@@ -60,10 +62,11 @@ class BayesHeader:
 
 @dataclass(frozen=True)
 class BayesModel:
-    """``terms``: one row per term with ``df[]``, ``idf[]`` and its class sums ``entries``.
+    """``terms``: one row per term and class that occur together.
 
-    ``entries`` is ``array<struct<class_idx, s[]>>``; it always holds class -1, which carries the
-    sums that all classes share.
+    ``s_i`` is the summed weight in slot ``i`` (null where the slot does not know the term);
+    ``total`` and ``own_p`` count documents of the term, and ``lead`` marks one row per term, on
+    which sums that all classes share are taken.
     """
 
     terms: TermTable
@@ -74,57 +77,51 @@ def fit_bayes(features: DataFrame, specs: list[BayesSpec] | None = None, parts:
     """Fit on ``(doc_id, category, part, terms)``, once per part."""
     specs = specs or [BayesSpec()]
     rules = list(dict.fromkeys(s.rule for s in specs))
-    training = features.where(F.col("part").isNull() | (F.col("part") < 0)) if parts == 1 else features
-    labels = label_list(training, least=2)
+    labels = label_list(features.where(F.col("part") < 0) if parts == 1 else features, least=2)
     if len(labels) * parts * len(specs) > MAX_HEADER_VALUES:
         raise LimitExceeded("classes x parts x settings is too large for one model")
 
     freq = doc_frequency(features, parts)
     norms = doc_norms(features, freq, rules)
-    sums = _class_sums(features, norms, labels, parts, rules)
-    entries = sums.groupBy("term").agg(F.collect_list(F.struct("class_idx", "s")).alias("entries"))
-    shared = F.array(F.struct(F.lit(-1).alias("class_idx"), F.lit(None).cast("array<double>").alias("s")))
-    per_term = freq.table.df.join(entries, "term", "left").withColumn(
-        "entries",
-        F.concat(
-            shared,
-            F.transform(
-                F.coalesce("entries", F.array().cast("array<struct<class_idx:int,s:array<double>>>")),
-                lambda e: F.struct(e["class_idx"].alias("class_idx"), _scale(e["s"], parts, rules).alias("s")),
-            ),
-        ),
-    )
-    terms = materialize(per_term, "bayes-terms")
+    terms = materialize(_class_sums(features, norms, labels, freq, rules), "bayes-terms")
     header = _header(features, terms, labels, specs, freq, rules)
-    return BayesModel(TermTable.measure(terms, "entries", 32 + 8 * parts * len(rules)), header)
+    return BayesModel(TermTable.measure(terms, 16 + 8 * parts * (1 + len(rules))), header)
 
 
-def _class_sums(features: DataFrame, norms: DataFrame, labels: list[str], parts: int, rules: list[TermRule]) -> DataFrame:
-    """``(term, class_idx, s[])`` with ``s = sum(tf / length)``; the idf factor comes per term later."""
-    class_idx = (F.array_position(F.lit(labels), F.col("category")) - 1).cast("int")
-    docs = features.join(norms, "doc_id").select("part", class_idx.alias("class_idx"), "norms", "terms")
-    facts = term_rows(docs, "part", "class_idx", "norms")
+def _class_sums(features: DataFrame, norms: DataFrame, labels: list[str], freq: DocFrequency, rules) -> DataFrame:
+    """Sum ``tf / length`` per term and class, then bring in the factor that all rows of a term
+    share, its idf. Document counts come along in the same pass."""
+    parts, pairs = freq.parts, slots(freq.parts, rules)
+    class_idx = F.coalesce(F.array_position(F.lit(labels), F.col("category")) - 1, F.lit(-1)).cast("int")
+    docs = features.withColumn("class_idx", class_idx).join(norms, "doc_id")
+    names = [f"norm_{i}" for i in range(len(pairs))]
+    facts = term_rows(docs, "part", "class_idx", *names)
     sums = []
-    for p in range(parts):
-        for _ in rules:
-            i = len(sums)
-            share = F.col("tf") / F.nullif(F.get("norms", F.lit(i)), F.lit(0.0))
-            sums.append(F.sum(F.when(F.col("part") != p, share)).alias(f"s{i}"))
-    names = [f"s{i}" for i in range(len(sums))]
-    return facts.groupBy("term", "class_idx").agg(*sums).select("term", "class_idx", F.array(*names).alias("s"))
-
-
-def _scale(sums: Column, parts: int, rules: list[TermRule]) -> Column:
-    """Multiply by idf; null where a part or rule does not know the term."""
-    scaled = []
-    for p in range(parts):
-        for rule in rules:
-            scaled.append(F.when(rule.allows(p), F.get(sums, F.lit(len(scaled))) * F.get("idf", F.lit(p))))
-    return F.array(*scaled)
+    for i, (p, _) in enumerate(pairs):
+        share = F.col("tf") / F.nullif(F.col(names[i]), F.lit(0.0))
+        sums.append(F.sum(F.when(F.col("part") != p, share)).alias(f"s_{i}"))
+    counts = [F.count_if(F.col("part") == p).alias(f"own_{p}") for p in range(parts)]
+    per_class = facts.groupBy("term", "class_idx").agg(F.count("*").alias("total"), *counts, *sums)
+
+    # At most one row per class for any term, so the window holds a bounded number of rows.
+    of_term = Window.partitionBy("term")
+    counted = ["total", *[f"own_{p}" for p in range(parts)]]
+    known = per_class.select(
+        "term",
+        "class_idx",
+        (F.row_number().over(of_term.orderBy("class_idx")) == 1).alias("lead"),
+        *[F.sum(c).over(of_term).alias(c) for c in counted],
+        *[f"s_{i}" for i in range(len(pairs))],
+    )
+    scaled = [
+        F.when(rule.allows(train_df(p)), F.col(f"s_{i}") * train_idf(p, freq.n_train)).alias(f"s_{i}")
+        for i, (p, rule) in enumerate(pairs)
+    ]
+    return known.select("term", "class_idx", "lead", *counted, *scaled)
 
 
 def _header(features, terms: DataFrame, labels, specs, freq: DocFrequency, rules) -> BayesHeader:
-    parts, n, width = freq.parts, len(labels), freq.parts * len(rules)
+    parts, n, pairs = freq.parts, len(labels), slots(freq.parts, rules)
     rows = features.groupBy("part", "category").agg(F.count("*").alias("n")).collect()  # parts x classes
     log_prior = []
     for p in range(parts):
@@ -135,26 +132,20 @@ def _header(features, terms: DataFrame, labels, specs, freq: DocFrequency, rules
         total = sum(count.values())
         log_prior.append([math.log(count[label] / total) if count[label] else None for label in labels])
 
-    known = [F.count_if(rule.allows(p)).alias(f"v{i}") for i, (p, rule) in enumerate(_slots(parts, rules))]
-    vocabulary = [int(x) for x in terms.agg(*known).first()]
-    totals = (
-        terms.select(F.explode("entries").alias("e"))
-        .where("e.class_idx >= 0")
-        .groupBy("e.class_idx")
-        .agg(*[F.sum(F.get("e.s", F.lit(i))).alias(f"d{i}") for i in range(width)])
-        .collect()
-    )
-    class_sum = [[0.0] * n for _ in range(width)]
-    for r in totals:
-        for i in range(width):
-            class_sum[i][r["class_idx"]] = r[f"d{i}"] or 0.0
+    known = [
+        F.count_if(F.col("lead") & rule.allows(train_df(p))).alias(f"v{i}") for i, (p, rule) in enumerate(pairs)
+    ]
+    sums = [F.coalesce(F.sum(f"s_{i}"), F.lit(0.0)).alias(f"d{i}") for i in range(len(pairs))]
+    vocabulary = [0] * len(pairs)
+    class_sum = [[0.0] * n for _ in pairs]
+    for r in terms.groupBy("class_idx").agg(*known, *sums).collect():  # one row per class
+        for i in range(len(pairs)):
+            vocabulary[i] += int(r[f"v{i}"])
+            if r["class_idx"] >= 0:
+                class_sum[i][r["class_idx"]] = r[f"d{i}"]
     return BayesHeader(labels, specs, freq.n_train, log_prior, class_sum, vocabulary)
 
 
-def _slots(parts: int, rules: list[TermRule]):
-    return [(p, rule) for p in range(parts) for rule in rules]
-
-
 def score_bayes(model: BayesModel, features: DataFrame, *keep: str) -> DataFrame:
     """Class probabilities of ``(doc_id, part, terms)`` by the model of each row's own part.
 
@@ -162,82 +153,82 @@ def score_bayes(model: BayesModel, features: DataFrame, *keep: str) -> DataFrame
     ``array<struct<category, probability>>``. Texts without a known term get the priors.
     """
     h = model.header
-    rules, n_specs = h.rules, len(h.specs)
+    rules, parts = h.rules, len(h.n_train)
     keys = ["doc_id", "part", *keep]
+    # Everything that depends on the term alone is computed on the table's side of the join.
+    idf = [
+        F.array(*[F.when(rule.allows(train_df(p)), train_idf(p, h.n_train)) for p in range(parts)]).alias(f"idf_{j}")
+        for j, rule in enumerate(rules)
+    ]
+    sums = [
+        F.array(*[F.col(f"s_{p * len(rules) + j}") for p in range(parts)]).alias(f"sum_{j}") for j in range(len(rules))
+    ]
     facts = join_terms(
-        term_rows(features, *keys, outer=True), model.terms, ["words", "df", "idf", "entries"], "doc_id"
+        term_rows(features, *keys, outer=True), model.terms, ["class_idx", "lead", *idf, *sums], "doc_id"
     )
     part = F.col("part")
     facts = facts.select(
         *keys,
-        *[
-            F.when(_allowed(rule, part), F.col("tf") * F.get("idf", part)).alias(f"u{j}")
-            for j, rule in enumerate(rules)
-        ],
-        F.explode_outer("entries").alias("e"),
+        "class_idx",
+        "lead",
+        *[(F.col("tf") * F.get(f"idf_{j}", part)).alias(f"u_{j}") for j in range(len(rules))],
+        *[F.get(f"sum_{j}", part).alias(f"s_{j}") for j in range(len(rules))],
     )
     aggs = []
-    shared = F.col("class_idx") < 0
     for j in range(len(rules)):
-        aggs.append(F.sum(F.when(shared, F.col(f"u{j}"))).alias(f"w{j}"))
-        aggs.append(F.sqrt(F.sum(F.when(shared, F.col(f"u{j}") * F.col(f"u{j}")))).alias(f"q{j}"))
-    for i, spec in enumerate(h.specs):
-        j = rules.index(spec.rule)
-        s = F.get("e.s", part * len(rules) + j)
-        aggs.append(F.sum(F.col(f"u{j}") * F.log1p(s / spec.alpha)).alias(f"r{i}"))
-    hits = facts.withColumn("class_idx", F.coalesce("e.class_idx", F.lit(-1))).groupBy(*keys, "class_idx").agg(*aggs)
-
-    value = F.struct(
-        F.array(*[F.col(f"w{j}") for j in range(len(rules))]).alias("w"),
-        F.array(*[F.col(f"q{j}") for j in range(len(rules))]).alias("q"),
-        F.array(*[F.col(f"r{i}") for i in range(n_specs)]).alias("r"),
+        u = F.when(F.col("lead"), F.col(f"u_{j}"))
+        aggs += [F.sum(u).alias(f"w_{j}"), F.sum(u * u).alias(f"q_{j}")]
+    of_rule = [rules.index(s.rule) for s in h.specs]
+    for i, (spec, j) in enumerate(zip(h.specs, of_rule)):
+        aggs.append(F.sum(F.col(f"u_{j}") * F.log1p(F.col(f"s_{j}") / spec.alpha)).alias(f"r_{i}"))
+    per_class = facts.groupBy(*keys, "class_idx").agg(*aggs)
+
+    # One row per document: shared sums added up, the hits of its classes (at most all of them)
+    # side by side.
+    hit = F.struct(F.col("class_idx"), F.array(*[F.col(f"r_{i}") for i in range(len(of_rule))]).alias("r"))
+    shared = [F.sum(f"{x}_{j}").alias(f"{x}_{j}") for j in range(len(rules)) for x in "wq"]
+    docs = per_class.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("class_idx") >= 0, hit))).alias("hits"), *shared
+    )
+    scores = F.array(
+        *[
+            F.struct(F.lit(i).alias("spec"), _scores(h, i, j, part).alias("scores"))
+            for i, j in enumerate(of_rule)
+        ]
     )
-    docs = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class_idx", value))).alias("hits"))
-    shared_hit = F.col("hits")[F.lit(-1)]
-    docs = docs.select(*keys, "hits", shared_hit["w"].alias("w"), shared_hit["q"].alias("q"))
-
-    def scores(i: int) -> Column:
-        spec = h.specs[i]
-        j = rules.index(spec.rule)
-        const = []
-        for p in range(len(h.n_train)):
-            slot = p * len(rules) + j
-            const.append(
-                [math.log(spec.alpha) - math.log(d + spec.alpha * h.vocabulary[slot]) if h.vocabulary[slot] else 0.0
-                 for d in h.class_sum[slot]]
-            )
-        length = F.nullif(F.get("q", F.lit(j)), F.lit(0.0))
-        total = F.coalesce(F.get("w", F.lit(j)) / length, F.lit(0.0))
-        prior = F.get(F.lit(h.log_prior) if _complete(h.log_prior) else _nullable(h.log_prior), part)
-        slope = F.get(F.lit(const), part)
-        return F.transform(
+    scored = docs.select(*keys, F.explode(scores).alias("x")).select(*keys, "x.spec", "x.scores")
+    return rank_classes(scored, "scores")
+
+
+def _scores(h: BayesHeader, i: int, j: int, part: Column) -> Column:
+    """``array<struct<category, score>>`` of setting ``i``, which uses rule ``j``."""
+    alpha, parts, n_rules = h.specs[i].alpha, len(h.n_train), len(h.rules)
+    slope = []
+    for p in range(parts):
+        slot = p * n_rules + j
+        v = max(h.vocabulary[slot], 1)
+        slope.append([math.log(alpha) - math.log(d + alpha * v) for d in h.class_sum[slot]])
+    priors = F.array(*[F.array(*[F.lit(x).cast("double") for x in row]) for row in h.log_prior])
+    length = F.sqrt(F.nullif(F.col(f"q_{j}"), F.lit(0.0)))
+    total = F.coalesce(F.col(f"w_{j}") / length, F.lit(0.0))
+    constants = F.struct(
+        F.get(priors, part).alias("prior"), F.get(F.lit(slope), part).alias("slope"), total.alias("total"),
+        length.alias("length"),
+    )
+    return let(
+        constants,
+        lambda k: F.transform(
             F.lit(list(range(len(h.labels)))),
             lambda c: F.struct(
                 F.get(F.lit(h.labels), c).alias("category"),
                 (
-                    F.get(prior, c)
-                    + total * F.get(slope, c)
-                    + F.coalesce(F.get(F.col("hits")[c]["r"], F.lit(i)) / length, F.lit(0.0))
+                    F.get(k["prior"], c)
+                    + k["total"] * F.get(k["slope"], c)
+                    + F.coalesce(F.get(F.col("hits")[c], F.lit(i)) / k["length"], F.lit(0.0))
                 ).alias("score"),
             ),
-        )
-
-    per_spec = F.array(*[F.struct(F.lit(i).alias("spec"), scores(i).alias("scores")) for i in range(n_specs)])
-    scored = docs.select(*keys, F.explode(per_spec).alias("x")).select(*keys, "x.spec", "x.scores")
-    return rank_classes(scored, "scores")
-
-
-def _complete(table: list[list[float | None]]) -> bool:
-    return all(x is not None for row in table for x in row)
-
-
-def _nullable(table: list[list[float | None]]) -> Column:
-    return F.array(*[F.array(*[F.lit(x).cast("double") for x in row]) for row in table])
-
-
-def _allowed(rule: TermRule, part: Column) -> Column:
-    ok = F.get("df", part) >= max(rule.min_df, 1)
-    return ok if rule.ngram_max > 1 else ok & (F.col("words") == 1)
+        ),
+    )
 
 
 def log_likelihoods(model: BayesModel, part: int = 0, spec: int = 0) -> DataFrame:
@@ -249,14 +240,12 @@ def log_likelihoods(model: BayesModel, part: int = 0, spec: int = 0) -> DataFram
     s = h.specs[spec]
     slot = part * len(h.rules) + h.rules.index(s.rule)
     denominators = [math.log(d + s.alpha * h.vocabulary[slot]) for d in h.class_sum[slot]]
-    e = model.terms.df.select("term", F.explode("entries").alias("e")).where("e.class_idx >= 0")
-    value = F.get("e.s", F.lit(slot))
-    idx = F.col("e.class_idx")
-    return e.where(value > 0).select(
+    value = F.col(f"s_{slot}")
+    return model.terms.df.where(value > 0).select(
         "term",
-        F.get(F.lit(h.labels), idx).alias("category"),
+        F.get(F.lit(h.labels), F.col("class_idx")).alias("category"),
         value.alias("weight_sum"),
-        (F.ln(value + s.alpha) - F.get(F.lit(denominators), idx)).alias("log_likelihood"),
+        (F.ln(value + s.alpha) - F.get(F.lit(denominators), F.col("class_idx"))).alias("log_likelihood"),
     )
 
 

@@ -29,10 +29,16 @@ class TermTable:
     rows_behind: int
 
     @classmethod
-    def measure(cls, df: DataFrame, nested: str | None = None, nested_width: int = 0) -> TermTable:
-        """Count rows and estimate bytes of a written table with columns ``term`` and ``total``."""
-        size = F.sum(F.octet_length("term") + 64 + (F.size(nested) * nested_width if nested else F.lit(0)))
-        row = df.agg(F.count("*"), F.coalesce(size, F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    def measure(cls, df: DataFrame, row_width: int) -> TermTable:
+        """Count rows and estimate bytes of a written table with columns ``term`` and ``total``.
+
+        ``row_width`` is the size of the other columns. A table may have several rows per term; the
+        fact rows behind a term are counted once, on the row where ``lead`` is true.
+        """
+        lead = F.col("lead") if "lead" in df.columns else F.lit(True)
+        size = F.coalesce(F.sum(F.octet_length("term") + 48 + row_width), F.lit(0))
+        behind = F.coalesce(F.sum(F.when(lead, F.col("total"))), F.lit(0))
+        row = df.agg(F.count("*"), size, behind).first()
         return cls(df, int(row[0]), int(row[1]), int(row[2]))
 
     def fits_broadcast(self) -> bool:
@@ -40,7 +46,8 @@ class TermTable:
 
     def hot_terms(self) -> DataFrame:
         per_salt = setting(self.df.sparkSession, "rowsPerSalt", ROWS_PER_SALT)
-        return self.df.where(F.col("total") > per_salt).select(
+        rows = self.df.where("lead") if "lead" in self.df.columns else self.df
+        return rows.where(F.col("total") > per_salt).select(
             "term", F.ceil(F.col("total") / per_salt).cast("int").alias("n_salts")
         )
 
@@ -49,7 +56,7 @@ def join_terms(facts: DataFrame, table: TermTable, columns: list[str | Column],
     """Join ``facts`` with ``columns`` of ``table`` on ``term``.
 
     Beyond the broadcast limit the join is shuffled on ``(term, salt)``: rows of a hot term are
-    spread over as many salts as it needs tasks, and only its one table row is repeated. Rows
+    spread over as many salts as it needs tasks, and only its few table rows are repeated. Rows
     without a term (empty texts) are spread as well; they match nothing.
     """
     right = table.df.select("term", *columns)

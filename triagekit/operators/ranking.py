@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagekit.constants import TOP_K
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once per row and use it inside ``body``.
+
+    A lambda would otherwise compute an outer expression again for every element of its array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rank_classes(df: DataFrame, scores: str, out: str = "ranked") -> DataFrame:
     """Softmax ``array<struct<category, score>>`` and sort it: probability falling, then label.
 
     A class without a score has probability 0. Probabilities are rounded to 12 places, far below
     what is reported, so that the order does not hang on the order of a sum.
     """
+
+    def weights(best: Column) -> Column:
+        return F.transform(
+            scores,
+            lambda s: F.struct(
+                F.coalesce(F.exp(s["score"] - best), F.lit(0.0)).alias("p"), s["category"].alias("category")
+            ),
+        )
+
+    def shares(weighted: Column) -> Column:
+        total = F.aggregate(weighted, F.lit(0.0), lambda acc, w: acc + w["p"])
+        return let(
+            total,
+            lambda t: F.transform(
+                weighted,
+                lambda w: F.struct((-F.round(w["p"] / t, 12)).alias("neg"), w["category"].alias("category")),
+            ),
+        )
+
     best = F.array_max(F.transform(scores, lambda s: s["score"]))
-    weights = F.transform(
-        scores,
-        lambda s: F.struct(
-            F.coalesce(F.exp(s["score"] - F.col("_best")), F.lit(0.0)).alias("p"), s["category"].alias("category")
-        ),
-    )
-    total = F.aggregate("_weights", F.lit(0.0), lambda acc, w: acc + w["p"])
-    shares = F.transform(
-        "_weights",
-        lambda w: F.struct((-F.round(w["p"] / F.col("_total"), 12)).alias("neg"), w["category"].alias("category")),
-    )
-    return (
-        df.withColumn("_best", best)
-        .withColumn("_weights", weights)
-        .withColumn("_total", total)
-        .withColumn(out, _as_ranked(F.sort_array(shares)))
-        .drop("_best", "_weights", "_total", scores)
-    )
+    ranked = let(let(best, weights), shares)
+    return df.withColumn(out, _as_ranked(F.sort_array(ranked))).drop(scores)
 
 
 def rank_probabilities(labels: list[str], probabilities: Column) -> Column:

@@ -37,7 +37,7 @@ def smooth_idf(n: Column, df: Column) -> Column:
 
 @dataclass(frozen=True)
 class DocFrequency:
-    """Document frequencies per part: ``term, total, words, df[], idf[]``."""
+    """Documents per term: ``term, total`` and ``own_p``, the documents held out from part ``p``."""
 
     table: TermTable
     n_train: list[int]
@@ -47,57 +47,64 @@ class DocFrequency:
         return len(self.n_train)
 
 
+@dataclass(frozen=True)
+class TermRule:
+    """Which terms a vectoriser uses."""
+
+    ngram_max: int = 1
+    min_df: int = 1
+
+    def allows(self, df: Column) -> Column:
+        rule = df >= max(self.min_df, 1)
+        return rule if self.ngram_max > 1 else rule & (F.instr("term", " ") == 0)
+
+
+def train_df(part: int) -> Column:
+    return F.col("total") - F.col(f"own_{part}")
+
+
+def train_idf(part: int, n_train: list[int]) -> Column:
+    """Smoothed idf of a part; null for a term that its training rows do not have."""
+    df = train_df(part)
+    return F.when(df > 0, smooth_idf(F.lit(n_train[part]), df))
+
+
+def slots(parts: int, rules: list[TermRule]) -> list[tuple[int, TermRule]]:
+    """All (part, rule) pairs; their place in this list is their slot number."""
+    return [(p, rule) for p in range(parts) for rule in rules]
+
+
 def train_sizes(features: DataFrame, parts: int) -> list[int]:
     row = features.agg(*[F.count_if(F.col("part") != p) for p in range(parts)]).first()
     return [int(x) for x in row]
 
 
 def doc_frequency(features: DataFrame, parts: int = 1) -> DocFrequency:
-    """Count documents per term once, and take each part's own documents off the total."""
-    n_train = train_sizes(features, parts)
+    """Count documents per term once; a part's own documents come off the total."""
     counts = term_rows(features, "part").groupBy("term").agg(
         F.count("*").alias("total"), *[F.count_if(F.col("part") == p).alias(f"own_{p}") for p in range(parts)]
     )
-    df = [F.col("total") - F.col(f"own_{p}") for p in range(parts)]
-    idf = [F.when(d > 0, smooth_idf(F.lit(n), d)) for n, d in zip(n_train, df)]
-    table = counts.select(
-        "term",
-        "total",
-        F.when(F.instr("term", " ") > 0, 2).otherwise(1).alias("words"),
-        F.array(*df).alias("df"),
-        F.array(*idf).alias("idf"),
-    )
-    written = materialize(table, "doc-frequency")
-    return DocFrequency(TermTable.measure(written, "df", 16), n_train)
-
-
-@dataclass(frozen=True)
-class TermRule:
-    """Which terms a vectoriser uses."""
-
-    ngram_max: int = 1
-    min_df: int = 1
-
-    def allows(self, part: int) -> Column:
-        rule = F.get("df", F.lit(part)) >= max(self.min_df, 1)
-        return rule if self.ngram_max > 1 else rule & (F.col("words") == 1)
+    written = materialize(counts, "doc-frequency")
+    return DocFrequency(TermTable.measure(written, 8 * parts), train_sizes(features, parts))
 
 
 def doc_norms(features: DataFrame, freq: DocFrequency, rules: list[TermRule], own_part: bool = False) -> DataFrame:
-    """``(doc_id, norms[])``: lengths of the TF-IDF vectors, entry ``part * len(rules) + rule``.
+    """``(doc_id, norm_0, ...)``: lengths of the TF-IDF vectors, one per slot.
 
     Only vectors that training needs are computed: a row is not measured for its own part, unless
     ``own_part`` asks for that.
     """
-    facts = join_terms(term_rows(features, "doc_id", "part"), freq.table, ["words", "df", "idf"], "doc_id", "inner")
+    pairs = slots(freq.parts, rules)
+    idf = [
+        F.when(rule.allows(train_df(p)), train_idf(p, freq.n_train)).alias(f"idf_{i}")
+        for i, (p, rule) in enumerate(pairs)
+    ]
+    facts = join_terms(term_rows(features, "doc_id", "part"), freq.table, idf, "doc_id", "inner")
     sums = []
-    for p in range(freq.parts):
-        u = F.col("tf") * F.get("idf", F.lit(p))
-        for rule in rules:
-            wanted = rule.allows(p) if own_part else rule.allows(p) & (F.col("part") != p)
-            sums.append(F.sqrt(F.sum(F.when(wanted, u * u))).alias(f"q{len(sums)}"))
-    names = [f"q{i}" for i in range(len(sums))]
-    return facts.groupBy("doc_id").agg(*sums).select("doc_id", F.array(*names).alias("norms"))
+    for i, (p, _) in enumerate(pairs):
+        u = F.col("tf") * F.col(f"idf_{i}")
+        sums.append(F.sqrt(F.sum(u * u if own_part else F.when(F.col("part") != p, u * u))).alias(f"norm_{i}"))
+    return facts.groupBy("doc_id").agg(*sums)
 
 
 def tfidf_weights(features: DataFrame, freq: DocFrequency, rule: TermRule = TermRule()) -> DataFrame:
@@ -106,7 +113,7 @@ def tfidf_weights(features: DataFrame, freq: DocFrequency, rule: TermRule = Term
     Documents without a known term have no row.
     """
     norms = doc_norms(features, freq, [rule], own_part=True)
-    facts = term_rows(features.join(norms, "doc_id"), "doc_id", "norms")
-    known = join_terms(facts, freq.table, ["words", "df", "idf"], "doc_id", "inner").where(rule.allows(0))
-    weight = F.col("tf") * F.get("idf", F.lit(0)) / F.get("norms", F.lit(0))
-    return known.select("doc_id", "term", "tf", weight.alias("weight"))
+    facts = term_rows(features.join(norms, "doc_id"), "doc_id", "norm_0")
+    idf = F.when(rule.allows(train_df(0)), train_idf(0, freq.n_train)).alias("idf")
+    known = join_terms(facts, freq.table, [idf], "doc_id", "inner").where("idf IS NOT NULL")
+    return known.select("doc_id", "term", "tf", (F.col("tf") * F.col("idf") / F.col("norm_0")).alias("weight"))

@@ -50,28 +50,33 @@ class Study:
         self.spec, self.folds, self.holdout, self.seed = spec, folds, holdout, seed
         self.stop_words = tuple(stop_words)
 
-    @cached_property
-    def cuts(self) -> DataFrame:
-        return split_cuts(self.docs, holdout=self.holdout, k=self.folds, seed=self.seed)
-
-    @property
-    def split(self) -> DataFrame:
-        """``docs`` with ``split`` and ``fold``; map-side only."""
-        return assign_split(self.docs, self.cuts, seed=self.seed)
-
     def terms(self, df: DataFrame, ngram_max: int | None = None) -> DataFrame:
         return add_terms(df, ngram_max=ngram_max or self.spec.ngram_max, stop_words=self.stop_words)
 
     @cached_property
-    def features(self) -> DataFrame:
-        """``doc_id, category, split, fold, terms`` of all rows."""
-        return materialize(self.terms(self.split), "features")
+    def counted(self) -> DataFrame:
+        """``doc_id, category, terms`` of all rows: the only step that reads the texts."""
+        return materialize(self.terms(self.docs), "features")
 
     @cached_property
+    def cuts(self) -> DataFrame:
+        """Split points; reads ids and labels of the written features."""
+        ids = self.counted.select("doc_id", "category")
+        return split_cuts(ids, holdout=self.holdout, k=self.folds, seed=self.seed)
+
+    def split(self, df: DataFrame) -> DataFrame:
+        """Add ``split`` and ``fold`` to rows with ``doc_id`` and ``category``; map-side only."""
+        return assign_split(df, self.cuts, seed=self.seed)
+
+    @property
+    def features(self) -> DataFrame:
+        return self.split(self.counted)
+
+    @property
     def grid_features(self) -> DataFrame:
-        if self.spec.ngram_max == max(GRID_NGRAM):
+        if self.spec.ngram_max >= max(GRID_NGRAM):
             return self.features
-        return materialize(self.terms(self.split, max(GRID_NGRAM)), "grid-features")
+        return self.split(materialize(self.terms(self.docs, max(GRID_NGRAM)), "grid-features"))
 
     def cv_rows(self, features: DataFrame) -> DataFrame:
         """Development rows; each is held out from its own fold."""

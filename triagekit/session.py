@@ -19,6 +19,8 @@ def local_session(app: str, cpus: int | None = None, **conf: str) -> SparkSessio
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Lets AQE skip the sorts of a shuffled join where every measured partition is small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "128m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
