@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from triagekit.session import setting
 
 BROADCAST_BYTES = 256 * 1024 * 1024
+ALWAYS_BROADCAST_ROWS = 200_000
+FACTS_PER_ROW = 20
 ROWS_PER_SALT = 2_000_000
 NULL_SALTS = 1024
 
@@ -42,7 +44,11 @@ class TermTable:
         return cls(df, int(row[0]), int(row[1]), int(row[2]))
 
     def fits_broadcast(self) -> bool:
-        return self.bytes <= setting(self.df.sparkSession, "broadcastBytes", BROADCAST_BYTES)
+        """Small enough to copy to every executor, and worth it: building the copy takes one thread
+        through all its rows, so beyond a modest size the facts must outnumber them clearly."""
+        if self.bytes > setting(self.df.sparkSession, "broadcastBytes", BROADCAST_BYTES):
+            return False
+        return self.rows <= ALWAYS_BROADCAST_ROWS or self.rows_behind >= FACTS_PER_ROW * self.rows
 
     def hot_terms(self) -> DataFrame:
         per_salt = setting(self.df.sparkSession, "rowsPerSalt", ROWS_PER_SALT)
