@@ -26,9 +26,13 @@ def add_terms(df: DataFrame, text: str = "ticket_text", ngram_max: int = 1, stop
 
 
 def term_rows(features: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
-    """One row per document and term. ``outer`` keeps documents without terms."""
-    explode = F.explode_outer if outer else F.explode
-    return features.select(*keep, explode("terms").alias("_t")).select(*keep, "_t.term", "_t.tf")
+    """One row per document and term. ``outer`` keeps documents without terms.
+
+    Always an outer explode: for an inner one Catalyst infers a filter on the size of the array and
+    pushes it below the steps that build the array, which would then be built twice.
+    """
+    rows = features.select(*keep, F.explode_outer("terms").alias("_t")).select(*keep, "_t.term", "_t.tf")
+    return rows if outer else rows.where(F.col("term").isNotNull())
 
 
 def smooth_idf(n: Column, df: Column) -> Column:
