@@ -435,17 +435,24 @@ def embedding_head(spark, sf_dir):
 
 
 def letter_encoder():
-    """A stand-in for a sentence encoder: shares of four letters in a text."""
-    import numpy as np
+    """A stand-in for a sentence encoder: shares of four letters in a text.
 
-    def encode(texts):
-        return np.array([[t.count(x) / max(len(t), 1) for x in "aeio"] for t in texts], dtype="float32")
+    Built inside a function so that it travels to the workers by value.
+    """
 
-    return encode
+    def make():
+        import numpy as np
+
+        def encode(texts):
+            return np.array([[t.count(x) / max(len(t), 1) for x in "aeio"] for t in texts], dtype="float32")
+
+        return encode
+
+    return make
 
 
 def encode_batch(spark, sf_dir):
-    df = embed.encode_texts(views.t_lang(spark, sf_dir), letter_encoder)
+    df = embed.encode_texts(views.t_lang(spark, sf_dir), letter_encoder())
     return df.select(
         "doc_id", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(4)]
     )
@@ -466,7 +473,7 @@ def approach_compare(spark, sf_dir):
         cv(logistic.logistic_oof(dev, N_FOLDS)),
         evaluate.macro_f1(with_top(logistic.score_logistic(model, held, "category"))),
     )
-    vectors = materialize(embed.encode_texts(texts, letter_encoder).drop("ticket_text"), "vectors")
+    vectors = materialize(embed.encode_texts(texts, letter_encoder()).drop("ticket_text"), "vectors")
     dev_v, held_v = vectors.where("split = 'dev'"), vectors.where("split = 'holdout'")
     head, labels = embed.fit_embedding_head(dev_v)
     emb = compare.approach_metrics(
