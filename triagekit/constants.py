@@ -12,7 +12,7 @@ NB_NGRAM, NB_MIN_DF, NB_ALPHA = 2, 1, 0.1
 LR_NGRAM, LR_MIN_DF, LR_C = 1, 1, 10.0
 HEAD_C = 1.0
 LR_MAX_ITER = 1000
-LR_TOLERANCE = 1e-5
+LR_TOLERANCE = 1e-4
 GRID_NGRAM = (1, 2)
 GRID_MIN_DF = (1, 2, 3)
 GRID_ALPHA = (0.1, 0.5, 1.0)

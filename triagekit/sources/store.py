@@ -51,15 +51,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read the table cached at ``path``; build and write it when it is absent.
 
-    A write that was cut short leaves no ``_SUCCESS`` file, so only finished tables are reused.
+    Files move to their place only when the whole write commits, so a write that was cut short
+    leaves no table behind and is done again.
     """
     try:
-        finished = spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").count() == 1
+        return spark.read.parquet(path)
     except AnalysisException:
-        finished = False
-    if not finished:
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
