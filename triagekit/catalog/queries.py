@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagekit.constants import (
-    CONFIDENCE_THRESHOLD, GRID_C, GRID_MIN_DF, GRID_NGRAM, N_FOLDS, N_MEASURED, PRECISION_TARGET,
+    GRID_C, GRID_MIN_DF, GRID_NGRAM, N_FOLDS, N_MEASURED, PRECISION_TARGET,
 )
 from triagekit.functions.text import display_label, percent, term_list, tokens, without
 from triagekit.operators import embed, evaluate, logistic, profile, routing, split, thresholds, vectorize
-from triagekit.operators.bayes import BayesSpec, fit_bayes, log_likelihoods
+from triagekit.operators.bayes import BayesSpec, fit_bayes, log_likelihoods, score_bayes
 from triagekit.operators.clean import check_requests, clean_labelled
 from triagekit.operators.ranking import top_k
 from triagekit.plans import compare
@@ -148,12 +148,12 @@ def request_validation(spark, sf_dir):
 
 
 def holdout_split(spark, sf_dir):
-    st = study(spark, sf_dir, "t_lang")
-    return st.split(st.docs.select("doc_id", "category")).select("doc_id", "category", "split")
+    rows = clean_labelled(views.t_lang(spark, sf_dir)).select("doc_id", "category")
+    return split.stratified_split(rows).select("doc_id", "category", "split")
 
 
 def fold_assign(spark, sf_dir):
-    rows = views.t_role(spark, sf_dir).select("doc_id", "category")
+    rows = clean_labelled(views.t_role(spark, sf_dir)).select("doc_id", "category")
     return split.stratified_split(rows, holdout=(0, 100)).select("doc_id", "category", "fold")
 
 
@@ -318,8 +318,6 @@ def model_select(spark, sf_dir):
 
 
 def _challenger(st: Study) -> DataFrame:
-    from triagekit.operators.bayes import score_bayes
-
     rows = st.cv_rows(st.features)
     preds = with_top(score_bayes(fit_bayes(rows, [BayesSpec(1, 2, 1.0)], st.folds), rows, "category"))
     return evaluate.cv_summary(evaluate.macro_f1(preds, "part"))
@@ -342,7 +340,7 @@ def quality_gate(spark, sf_dir):
 
 
 def nb_grid(spark, sf_dir):
-    """All 18 settings; the oracle repeats three of them, the tests the rest."""
+    """All 18 settings over all folds."""
     out = study(spark, sf_dir, "t_role").grid()
     return out.select("spec", "alpha", "min_df", "ngram_max", r6("mean"), r6("std"), "rank")
 

@@ -33,6 +33,7 @@ REVIEW_LABEL = "needs_review"
 # --- fixed values: patterns ---------------------------------------------------------------
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 STRIP_PATTERN = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+KEPT_CHARACTER = r"(?U)[^\s\x1C-\x1F]"
 
 # --- fixed values: cell texts that a CSV reader takes as "no value" -------------------------
 CSV_NULL_TOKENS = (

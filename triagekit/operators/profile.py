@@ -96,7 +96,7 @@ def exact_median(df: DataFrame, group: str, value: str, out: str = "median") ->
         F.count("*").alias("distinct_values"),
     )
     while True:
-        spec = materialize(spec, "median-spec")
+        spec = _copied_if_small(materialize(spec, "median-spec"))
         if spec.where((F.col("distinct_values") > limit) & (F.col("lo") < F.col("hi"))).isEmpty():
             break
         spec = _narrow(left, spec)
@@ -116,6 +116,12 @@ def exact_median(df: DataFrame, group: str, value: str, out: str = "median") ->
     )
 
 
+def _copied_if_small(spec: DataFrame, rows: int = 200_000) -> DataFrame:
+    """One row per group: copied to all tasks when counted small, so a large group stays spread.
+    With more groups than that the join is shuffled, and AQE splits the partitions of large ones."""
+    return F.broadcast(spec) if spec.limit(rows + 1).count() <= rows else spec
+
+
 def _low_rank():
     return F.floor((F.col("total") - 1) / 2)
 

@@ -14,8 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagekit.constants import HOLDOUT_SHARE, N_FOLDS, SEED
-from triagekit.operators.profile import class_counts, label_list
+from triagekit.constants import HOLDOUT_SHARE, MAX_CLASSES, N_FOLDS, SEED
+from triagekit.errors import LimitExceeded
+from triagekit.operators.profile import class_counts
 from triagekit.session import setting
 from triagekit.sources.store import materialize
 
@@ -68,8 +69,10 @@ def split_cuts(
 ) -> DataFrame:
     """``(label, cuts)``: the digest of the last row of every fold (null for an empty fold)."""
     spark = df.sparkSession
-    label_list(df, label)  # checks that the class table is small
-    quotas = materialize(class_quotas(class_counts(df, label), label, holdout, k), "quotas")
+    counts = materialize(class_counts(df, label), "class-counts")
+    if counts.count() > MAX_CLASSES:
+        raise LimitExceeded(f"more than {MAX_CLASSES} classes in column {label}")
+    quotas = materialize(class_quotas(counts, label, holdout, k), "quotas")
     largest = quotas.agg(F.max("count")).first()[0]
     # Enough hex digits that one digest range of the largest class is a modest sort.
     per_range = setting(spark, "digestRangeRows", 200_000)
