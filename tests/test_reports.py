@@ -87,7 +87,7 @@ def test_ranking_breaks_ties_by_label(spark):
     assert [c.category for c in df.select(top_k().alias("t")).first().t] == ["y", "z", "x"]
 
 
-def test_published_holdout_size(spark):
+def test_holdout_size_of_13083_rows(spark):
     counts = spark.createDataFrame([(f"c{i:02d}", 13083 // 77 + (1 if i < 13083 % 77 else 0)) for i in range(77)], "category string, count long")
     q = split.class_quotas(counts).agg(F.sum("dev"), F.sum("count")).first()
     assert (q[0], q[1]) == (11120, 13083)

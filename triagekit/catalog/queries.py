@@ -276,7 +276,7 @@ def threshold_sweep(spark, sf_dir):
 
 
 def threshold_choice(spark, sf_dir):
-    """The reference's target and a lower one, on two views."""
+    """The usual target and a lower one, on two views."""
     out = []
     for view in ("t_role", "t_quality"):
         sweep = thresholds.threshold_sweep(study(spark, sf_dir, view).oof)

@@ -1,14 +1,14 @@
-"""A study of one labelled table: split, features, out-of-fold predictions and their reports.
+"""A study of one labelled table: features, split, out-of-fold predictions and their reports.
 
 Each step that several reports need is computed once, written to the shared folder and read from
-there: the split and features, the out-of-fold predictions, the holdout predictions.
+there: the features, the split points, the out-of-fold predictions, the holdout predictions.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagekit.constants import (
@@ -152,8 +152,6 @@ class Study:
 
 
 def rank_grid(summary: DataFrame, specs: list[BayesSpec]) -> DataFrame:
-    from pyspark.sql import Window
-
     params = summary.sparkSession.createDataFrame(
         [(i, s.alpha, s.min_df, s.ngram_max) for i, s in enumerate(specs)],
         "spec int, alpha double, min_df int, ngram_max int",
