@@ -1,7 +1,7 @@
 """Quality rules as weak supervision.
 
 Each rule votes for a text (1), against it (-1) or abstains (0). Expectation-maximisation over the
-vote patterns of all documents estimates, without labels, the share of good texts and how often each
+vote patterns of all documents that pass the base rules estimates, without labels, the share of good texts and how often each
 rule is right on good and on bad texts when it votes; a document is kept when the posterior probability
 that it is good is at least one half. As a pattern decides the posterior, documents are counted by
 pattern first: at most 3 to the power of the number of rules, whatever the number of documents.
@@ -24,6 +24,8 @@ from triagekit.sources.store import materialize
 MIN_WORDS = 50
 MOST_REPEAT_PERCENT = 50
 KEEP_AT = 0.5
+#: What the first vote against a text leaves of the belief that it is good, before the first round.
+DOUBT = 0.2
 
 
 @dataclass(frozen=True)
@@ -56,10 +58,12 @@ RULES = (
     Rule("upper_case", "n_upper", "n_letters", (0.0, 0.1), (0.0, 0.3)),
     Rule("short_words", "n_short", "n_words", (0.15, 0.8), (0.05, 0.95)),
     Rule("sentences", "n_stops", "n_words", (0.02, 0.25), (0.005, 0.5)),
+    Rule("no_letters", "n_bare", "n_words", (0.0, 0.05), (0.0, 0.2)),
     Rule("variety", "n_distinct", "n_words", (0.2, 1.0), (0.08, 1.0)),
 )
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+FAILED = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MOST_REPEAT_PERCENT} * n_words"
 FEATURES = f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, votes string"
 
 
@@ -106,15 +110,15 @@ class LabelModel:
 def fit_label_model(counts: dict[str, int], rules: int = len(RULES), rounds: int = 200, smooth: float = 5.0) -> LabelModel:
     """Expectation-maximisation over counted vote patterns.
 
-    Starts at the share of votes for a text. The smoothing takes each rule to have been right four times
-    in five on ``smooth`` texts of either kind, which also fixes which of the two kinds is the good one.
-    Without any pattern, that assumption is the model.
+    Most texts pass most rules, so a vote for a text says little and one against it much: the rounds start
+    by doubting each text in proportion to the votes against it (``DOUBT``). The smoothing takes each rule
+    to have been right four times in five on ``smooth`` texts of either kind, which also fixes which of the
+    two kinds is the good one. Without any pattern, that assumption is the model.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     votes = np.array([["-0+".index(c) - 1 for c in p] for p in patterns], float).reshape(len(patterns), rules)
-    voted = np.maximum(np.abs(votes).sum(1), 1)
-    good = 0.5 + 0.4 * votes.sum(1) / voted
+    good = 0.95 * DOUBT ** (votes < 0).sum(1)
     model = LabelModel(0.5, np.full(rules, 0.8), np.full(rules, 0.8))
     for _ in range(rounds if patterns else 0):
         g, b = n * good, n * (1 - good)
@@ -131,8 +135,9 @@ def fit_label_model(counts: dict[str, int], rules: int = len(RULES), rounds: int
 
 
 def pattern_counts(votes: DataFrame) -> dict[str, int]:
-    """Documents per vote pattern; few rows, as a pattern is one of three letters per rule."""
-    return {r["votes"]: r["n"] for r in votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Documents per vote pattern, of those that pass the base rules and so need a verdict; few rows, as
+    a pattern is one of three letters per rule."""
+    return {r["votes"]: r["n"] for r in votes.where(f"not ({FAILED})").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,17 +147,15 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives no rows. Other columns are ignored.
     """
     table = materialize(document_votes(docs, id_col, text_col), "votes")
-    counts = pattern_counts(table)
-    patterns = sorted(counts)
-    model = fit_label_model(counts)
+    model = fit_label_model(pattern_counts(table))
+    patterns = [r["votes"] for r in table.select("votes").distinct().collect()]  # few, as above
     spark = docs.sparkSession
     known = spark.createDataFrame(
         [(p, float(x)) for p, x in zip(patterns, model.posterior(patterns))], "votes string, posterior double"
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     return (
         table.join(F.broadcast(known), "votes")  # as few rows as there are patterns
-        .withColumn("base_failed", failed)
+        .withColumn("base_failed", F.expr(FAILED))
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_AT))
         .select("doc_id", *COUNTS, "base_failed", "kept", "posterior", "votes")
     )

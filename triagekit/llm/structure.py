@@ -15,6 +15,7 @@ UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 DIGITS = b"0123456789"
 STOPS = b".!?"
+NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 #: Up to this many words, three word numbers fit into one 64-bit integer.
 MOST_WORDS_PACKED = 1 << 21
 
@@ -32,6 +33,7 @@ class Structure(NamedTuple):
     n_stops: int
     n_short: int
     n_distinct: int
+    n_bare: int
 
 
 def _count(data: bytes, of: bytes) -> int:
@@ -76,6 +78,7 @@ def structure(text: str | None) -> Structure:
     codes = np.fromiter(map(numbers.__getitem__, words), np.int64, n)
     lines = [line for line in data.split(b"\n") if line.strip(BLANKS)]
     n_upper = _count(data, UPPER)
+    bare = {w for w in numbers if not w.translate(None, NO_LETTERS)}
     return Structure(
         n_words=n,
         word_chars=len(text) - _count(data, BLANKS),
@@ -89,4 +92,5 @@ def structure(text: str | None) -> Structure:
         n_stops=_count(data, STOPS),
         n_short=sum(map((4).__gt__, map(len, words))),
         n_distinct=len(numbers),
+        n_bare=sum(map(bare.__contains__, words)) if bare else 0,
     )
