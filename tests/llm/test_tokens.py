@@ -23,6 +23,17 @@ def ids_of(path, text):
     return LIBRARY[path].encode(text or "", add_special_tokens=False).ids
 
 
+PLAIN_WORDS = st.lists(st.text(st.sampled_from(list("aBzÀÖ×÷ßɏɐḁ1_.,;:!?#$%&*|'")), max_size=8), max_size=8).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PLAIN_WORDS)
+def test_plain_words_have_the_ids_of_the_text(text):
+    own = encode.IdEncoder.__new__(encode.IdEncoder)
+    own.__dict__ |= encode.encoder(BYTE).__dict__ | {"known": {}}
+    assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == ids_of(BYTE, text)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

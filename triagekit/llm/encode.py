@@ -17,6 +17,19 @@ from collections.abc import Iterable, Iterator
 KEPT_PIECES = 500_000
 GROUP_CHARS = 2_000_000
 BEFORE_WORD = re.compile(r" (?=\S)")
+#: A word of Latin letters and the marks behind it: two pieces at most for a byte-level tokenizer.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?#$%&*|]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: printable ones stand
+    for themselves, the others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
 
 _encoders: dict[str, IdEncoder] = {}
 
@@ -53,12 +66,35 @@ class IdEncoder:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.by_piece = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _piece(self, text: str) -> bytes:
+        """Ids of what the tokenizer would not cut further."""
+        letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces after a blank; plain words spare the library's general way."""
+        others = []
+        for piece in pieces:
+            plain = PLAIN.fullmatch(piece)
+            if plain is None:
+                others.append(piece)
+                continue
+            word, marks = plain.groups()
+            for part, text in ((word, " " + word), (marks, marks)):
+                if part not in self.parts:
+                    self.parts[part] = self._piece(text)
+            self.known[piece] = self.parts[word] + self.parts[marks]
+        if others:
+            self.known.update(zip(others, self._encode([" " + p for p in others])))
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
         group, chars = [], 0
@@ -76,10 +112,10 @@ class IdEncoder:
         cut = [BEFORE_WORD.split(t) for t in texts]
         heads = self._encode([pieces[0] for pieces in cut]) if cut else []
         new = [p for p in set().union(*(pieces[1:] for pieces in cut)) if p not in self.known]
-        if new:
-            self.known.update(zip(new, self._encode([" " + p for p in new])))
+        self._learn(new)
         get = self.known.__getitem__
         out = [head + b"".join(map(get, pieces[1:])) for head, pieces in zip(heads, cut)]
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
+            self.parts = {"": b""}
         return out
