@@ -2,10 +2,11 @@
 
 For a tokenizer that drops white space, the ids of a text are those of its words in order. Texts stay in
 their files: for each block (a split of a file, which one task reads) the distinct words are collected;
-all blocks' words meet in one table, where each is encoded once; an id-to-piece join decodes each; the
-entries go back to the blocks that use the word, as a small dictionary per block in the shared folder;
-and each block reads its dictionary and joins ids and pieces by the position of the words in its texts.
-Only words move, never texts or positions, and a very frequent word has at most one row per block.
+all blocks' words meet in one table, where each is encoded once; the ids go back to the blocks that use
+the word, as a small dictionary per block in the shared folder; each block reads its dictionary, joins
+the ids of each word to the id-to-piece table (fixed in size, so held by every task), and puts ids and
+pieces in place by the position of the words in its texts. ``decode`` is the same join for any lists of
+ids, as a DataFrame. Only words move, never texts or positions, and a very frequent word has at most one row per block.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,12 +23,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagekit.llm.encode import load_tokenizer
+from triagekit.llm.encode import BYTE_LETTERS, load_tokenizer
 from triagekit.sources.store import materialize, new_path
 
 #: Distinct stretches between blanks whose words a task holds at a time.
 MOST_STRETCHES = 400_000
-LETTERS = re.compile(r"[a-z]+")
+#: Latin letters that stay letters in lower case, and the marks behind them: at most two words.
+LATIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]*)([.,;:!?#$%&*|]*)")
 
 _splitters: dict[str, Splitter] = {}
 
@@ -43,7 +44,7 @@ class Splitter:
     """The words of a stretch of text without blanks, as the tokenizer's normaliser and splitter give them.
 
     A blank always ends a word and is dropped, so a text has the words of its stretches. Special tokens
-    stand for themselves. Plain lower-case letters are one word, which spares the library a call.
+    stand for themselves. Plain words with marks behind them spare the library a call.
     """
 
     def __init__(self, path: str):
@@ -58,8 +59,12 @@ class Splitter:
         self.at_special = re.compile(f"({'|'.join(map(re.escape, ordered))})") if ordered else None
 
     def words(self, stretch: str) -> list[str]:
-        if LETTERS.fullmatch(stretch):
-            return [stretch]
+        if plain := LATIN.fullmatch(stretch):
+            word, marks = plain.groups()
+            word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            return [w for w in (word, marks) if w]
         if self.at_special and (parts := self.at_special.split(stretch))[1:]:
             return [w for p in parts for w in ([p] if p in self.special else self._words(p))]
         return self._words(stretch)
@@ -74,6 +79,10 @@ class Splitter:
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
 
+def stretches_of(text: str | None) -> list[str]:
+    return (text or "").replace("\n", " ").split(" ")
+
+
 def block_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``(block, word)`` for every word of a block; each once, or a few times where a block has very many."""
 
@@ -98,7 +107,7 @@ def block_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     yield from flush()
                     found.clear()
                     block = at
-                stretches.update((text.as_py() or "").split(" "))
+                stretches.update(stretches_of(text.as_py()))
                 if len(stretches) > MOST_STRETCHES:
                     yield from flush()
         yield from flush()
@@ -107,14 +116,15 @@ def block_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(word, ids)`` for each distinct word, encoded once."""
+    """``(word, ids)`` for each distinct word, encoded once; ids as text, joined by a blank."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = splitter(tokenizer_path).ids
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+            joined = [" ".join(map(str, ids(w))) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pa.string())], names=["word", "ids"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+    return words.select("word").distinct().mapInArrow(run, "word string, ids string")
 
 
 def pieces(spark: SparkSession, tokenizer_path: str) -> DataFrame:
@@ -147,25 +157,26 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def dictionaries(docs: DataFrame, tokenizer_path: str) -> str:
-    """Writes the dictionary of each block: ``block=<number>/`` with word, ids and decoded text."""
-    spark = docs.sparkSession
+    """Writes the dictionary of each block: ``block=<number>/`` with the ids of each of its words."""
     used = materialize(block_words(docs, tokenizer_path), "block-words")
-    table = materialize(word_table(used, tokenizer_path), "words")
-    decoded = decode(table, "word", "ids", pieces(spark, tokenizer_path))
-    entries = used.join(table, "word").join(decoded, "word")
-    folder = new_path(spark, "dictionaries")
-    entries.select("block", "word", F.transform("ids", lambda i: i.cast("int")).alias("ids"), "decoded").repartition("block").write.partitionBy(
-        "block"
-    ).option("compression", "zstd").parquet(folder)
+    entries = used.join(materialize(word_table(used, tokenizer_path), "words"), "word")
+    folder = new_path(docs.sparkSession, "dictionaries")
+    entries.select("block", "word", "ids").repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
     return folder
 
 
-def _dictionary(folder: str, block: int) -> dict[str, tuple[tuple[int, ...], str]]:
+def _dictionary(folder: str, block: int, piece_of: dict[str, str]) -> dict[str, tuple[int, str, str]]:
+    """Number of ids, ids and decoded text of each word of a block; each word is decoded once, by
+    joining its ids to the pieces."""
     files, path = pafs.FileSystem.from_uri(f"{folder}/block={block}")
     if files.get_file_info(path).type == pafs.FileType.NotFound:
         return {}
-    table = pads.dataset(path, filesystem=files, format="parquet", partitioning=None).to_table(columns=["word", "ids", "decoded"])
-    return dict(zip(table["word"].to_pylist(), zip(table["ids"].to_pylist(), table["decoded"].to_pylist())))
+    table = pads.dataset(path, filesystem=files, format="parquet", partitioning=None).to_table(columns=["word", "ids"])
+    out = {}
+    for word, ids in zip(table["word"].to_pylist(), table["ids"].to_pylist()):
+        own = ids.split(" ") if ids else []
+        out[word] = (len(own), ids, " ".join([piece_of[i] for i in own]))
+    return out
 
 
 def _joined(docs: DataFrame, tokenizer_path: str, schema: str, per_text, types: list[pa.DataType], id_col: str, text_col: str) -> DataFrame:
@@ -173,16 +184,20 @@ def _joined(docs: DataFrame, tokenizer_path: str, schema: str, per_text, types:
     folder = dictionaries(rows, tokenizer_path)
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     names = [c.split(" ")[0] for c in schema.split(", ")]
+    vocabulary = load_tokenizer(tokenizer_path).get_vocab(with_added_tokens=True)
+    piece_of = docs.sparkSession.sparkContext.broadcast({str(i): p for p, i in vocabulary.items()})  # as large as its file
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = splitter(tokenizer_path).words
         block, known, entry = None, {}, {}
 
         class Entries(dict):
-            def __missing__(self, stretch: str) -> tuple:
+            def __missing__(self, stretch: str) -> tuple | None:
                 found = [known[w] for w in words(stretch)]
-                ids = [i for own, _ in found for i in own]
-                entry = (len(ids), " ".join(map(str, ids)), " ".join(d for _, d in found), array("I", ids).tobytes()) if found else None
+                if len(found) > 1:
+                    n, ids, decoded = zip(*found)
+                    found = [(sum(n), " ".join(ids), " ".join(decoded))]
+                entry = found[0] if found else None
                 if len(self) < MOST_STRETCHES:
                     self[stretch] = entry
                 return entry
@@ -191,17 +206,18 @@ def _joined(docs: DataFrame, tokenizer_path: str, schema: str, per_text, types:
             out = []
             for at, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if at != block:
-                    block, known, entry = at, _dictionary(uri, at), Entries()
-                in_order = map(entry.__getitem__, (text.as_py() or "").split(" "))
-                out.append((key, *per_text([e for e in in_order if e])))
+                    block, known, entry = at, _dictionary(uri, at, piece_of.value), Entries()
+                found = [e for e in map(entry.__getitem__, stretches_of(text.as_py())) if e]
+                n, ids, decoded = zip(*found) if found else ((), (), ())
+                out.append((key, *per_text(sum(n), " ".join(ids), " ".join(decoded))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return rows.select("block", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _sha256(parts: Iterable[str]) -> str:
-    return hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +228,8 @@ def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     written first.
     """
 
-    def digest(found: list[tuple]) -> tuple:
-        return sum(e[0] for e in found), _sha256(e[1] for e in found), _sha256(e[2] for e in found)
+    def digest(n: int, ids: str, decoded: str) -> tuple:
+        return n, _sha256(ids), _sha256(decoded)
 
     return _joined(docs, tokenizer_path, RESULT, digest, [pa.int64(), pa.int64(), pa.string(), pa.string()], id_col, text_col)
 
@@ -221,8 +237,8 @@ def encoded_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids, decoded)`` per row, on the same terms."""
 
-    def whole(found: list[tuple]) -> tuple:
-        return array("I", b"".join(e[3] for e in found)).tolist(), " ".join(e[2] for e in found)
+    def whole(n: int, ids: str, decoded: str) -> tuple:
+        return list(map(int, ids.split())), decoded
 
     return _joined(
         docs, tokenizer_path, "doc_id long, ids array<int>, decoded string", whole, [pa.int64(), pa.list_(pa.int32()), pa.string()], id_col, text_col
