@@ -14,7 +14,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 #: Pieces that a worker keeps at most, and characters of texts that are encoded together.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 250_000
 GROUP_CHARS = 2_000_000
 BEFORE_WORD = re.compile(r" (?=\S)")
 #: A word of Latin letters and the marks behind it: two pieces at most for a byte-level tokenizer.

@@ -27,7 +27,7 @@ SAMPLE_ROWS = 4000
 EPOCHS = 8
 BATCH = 64
 RATE = 0.05
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
 DENSE = 10
 
 

@@ -30,7 +30,7 @@ RATE = 1.0
 TELLING = 4.0
 STARTS = (4, 5)
 OFFENDS_AT = 0.3
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
