@@ -285,7 +285,7 @@ FROM oof o JOIN sp USING (doc_id) WHERE o.category <> predicted_label ORDER BY o
         + "SELECT threshold, accepted, round(coverage, 6) AS coverage, round(precision, 6) AS precision FROM sw WHERE idx % 10 = 0",
         "review_flags": ctes(*role)
         + f"""SELECT doc_id, confidence < {CONFIDENCE_THRESHOLD} AS needs_review, confidence >= {CONFIDENCE_THRESHOLD} AS accepted,
-category = predicted_label AS correct, round(confidence * 100)::INT AS percent FROM oof""",
+category = predicted_label AS correct, round_even(confidence * 100, 0)::INT AS percent FROM oof""",
         "model_select": ctes(
             *role, f1("oof", "fold", "fa"), bayes(N_FOLDS, 1, 2, 1.0, "_c"), f1("oof_c", "fold", "fb"),
             "x AS (SELECT avg(macro_f1) AS dm, stddev_pop(macro_f1) AS ds FROM fa)",
@@ -304,8 +304,8 @@ SELECT 'naive_bayes' AS model, avg(macro_f1) AS m FROM fa UNION ALL SELECT 'base
         "stream_classify": ctes(*done) + flat,
         "route_counts": ctes(*done) + "SELECT route, count(*) AS count FROM an GROUP BY route",
         "summary_lines": ctes(*done)
-        + """SELECT doc_id, CASE WHEN needs_review THEN 'NEEDS REVIEW (top guess ''' || category_1 || ''' at only ' || round(confidence * 100)::INT || '% confidence)'
-ELSE 'Predicted category: ' || category_1 || ' (' || round(confidence * 100)::INT || '% confidence)' END AS summary FROM an WHERE reject_reason IS NULL""",
+        + """SELECT doc_id, CASE WHEN needs_review THEN 'NEEDS REVIEW (top guess ''' || category_1 || ''' at only ' || round_even(confidence * 100, 0)::INT || '% confidence)'
+ELSE 'Predicted category: ' || category_1 || ' (' || round_even(confidence * 100, 0)::INT || '% confidence)' END AS summary FROM an WHERE reject_reason IS NULL""",
         "response_json": ctes(*done)
         + "SELECT doc_id, category, confidence, needs_review, 3 AS n_top FROM an WHERE reject_reason IS NULL",
         "encode_batch": "SELECT doc_id, "

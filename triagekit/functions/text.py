@@ -88,8 +88,8 @@ def display_label(label: Column) -> Column:
 
 
 def percent(share: Column) -> Column:
-    """Whole-number percentage."""
-    return F.round(share * 100).cast("int")
+    """Whole-number percentage; halves go to the even number."""
+    return F.bround(share * 100).cast("int")
 
 
 def summary_line(needs_review: Column, top_label: Column, confidence: Column) -> Column:

@@ -29,6 +29,10 @@ def reject_reason(text: Column, max_chars: int = MAX_TEXT_CHARS) -> Column:
 
 
 def check_requests(df: DataFrame, text: str = "text", max_chars: int = MAX_TEXT_CHARS) -> DataFrame:
-    """Add ``reject_reason`` (null = accepted) and ``clean_text`` (null = rejected)."""
-    df = df.withColumn("reject_reason", reject_reason(F.col(text), max_chars))
+    """Add ``reject_reason`` (null = accepted) and ``clean_text`` (null = rejected). What parsing has
+    found (``request_error``, if there is such a column) is the reason before any other."""
+    reason = reject_reason(F.col(text), max_chars)
+    if "request_error" in df.columns:
+        reason = F.coalesce("request_error", reason)
+    df = df.withColumn("reject_reason", reason)
     return df.withColumn("clean_text", F.when(F.col("reject_reason").isNull(), strip(F.col(text))))

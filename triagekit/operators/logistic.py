@@ -259,7 +259,7 @@ def score_logistic(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame
 
 
 def logistic_scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: score_logistic(model, df, "doc_id", "reject_reason")
+    return lambda df, *keep: score_logistic(model, df, "doc_id", "reject_reason", *keep)
 
 
 def save_pipeline(model: PipelineModel, path: str) -> None:

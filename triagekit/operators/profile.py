@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +75,25 @@ def label_list(df: DataFrame, label: str = "category", least: int = 1) -> list[s
     return [r[0] for r in rows]
 
 
+#: The largest finite double.
+LARGEST = sys.float_info.max
+
+
 def exact_median(df: DataFrame, group: str, value: str, out: str = "median") -> DataFrame:
     """Exact interpolated median per group, for groups of any size.
 
     ``median`` keeps all distinct values of a group in one buffer. Here equal values are counted
     first. While a group has too many distinct values left, a histogram over its remaining range
     finds the one or two bins that hold the middle ranks; only those bins go on, the rows below
-    them are carried as a number. The last step ranks the few values left.
+    them are carried as a number. The last step ranks the few values left. Null is a group like others;
+    infinities count as the largest doubles while ranges are cut.
     """
     limit = setting(df.sparkSession, "medianRows", 1_000_000)
     left = materialize(
         df.where(F.col(value).isNotNull())
-        .groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("n")),
+        .groupBy(F.array(F.col(group)).alias("g"), F.col(value).cast("double").alias("x"))
+        .agg(F.count("*").alias("n"))
+        .withColumn("v", F.greatest(F.least("x", F.lit(LARGEST)), F.lit(-LARGEST))),
         "median-values",
     )
     spec = left.groupBy("g").agg(
@@ -103,16 +111,16 @@ def exact_median(df: DataFrame, group: str, value: str, out: str = "median") ->
     ranked = (
         left.join(spec, "g")
         .where(F.col("v").between(F.col("lo"), F.col("hi")))
-        .withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("g").orderBy("v")))
+        .withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("g").orderBy("v", "x")))
     )
     return (
         ranked.groupBy(F.col("g").alias(group))
         .agg(
-            F.min(F.when(F.col("upto") > _low_rank(), F.col("v"))).alias("v0"),
-            F.min(F.when(F.col("upto") > _high_rank(), F.col("v"))).alias("v1"),
+            F.min(F.when(F.col("upto") > _low_rank(), F.col("x"))).alias("v0"),
+            F.min(F.when(F.col("upto") > _high_rank(), F.col("x"))).alias("v1"),
             F.first("total").alias("row_count"),
         )
-        .select(group, "row_count", ((F.col("v0") + F.col("v1")) / 2).alias(out))
+        .select(F.get(group, F.lit(0)).alias(group), "row_count", (F.col("v0") / 2 + F.col("v1") / 2).alias(out))
     )
 
 
@@ -131,8 +139,12 @@ def _high_rank():
 
 
 def _narrow(left: DataFrame, spec: DataFrame, bins: int = 4096) -> DataFrame:
-    """One histogram round: the same table as ``spec`` with a narrower range per group."""
-    share = (F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    """One histogram round: the same table as ``spec`` with a narrower range per group.
+
+    Every round leaves out at least the first or the last bin, or both middle ranks lie at the facing
+    ends of two bins and the range shrinks to these. Halves keep differences finite.
+    """
+    share = (F.col("v") / 2 - F.col("lo") / 2) / F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0))
     hist = (
         left.join(spec.drop("distinct_values"), "g")
         .where(F.col("v").between(F.col("lo"), F.col("hi")))
@@ -143,13 +155,16 @@ def _narrow(left: DataFrame, spec: DataFrame, bins: int = 4096) -> DataFrame:
             F.min("v").alias("lo"),
             F.max("v").alias("hi"),
             F.count("*").alias("distinct_values"),
+            F.max(F.struct("v", "n")).alias("last"),
         )
         .withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("g").orderBy("bin")))
     )
     middle = (F.col("upto") > _low_rank()) & (F.col("upto") - F.col("n") <= _high_rank())
+    two = F.count("*") > 1
+    first = F.min(F.struct("bin", "last", "upto"))
     return hist.where(middle).groupBy("g", "total").agg(
-        F.min(F.col("upto") - F.col("n")).alias("below"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-        F.sum("distinct_values").alias("distinct_values"),
+        F.when(two, first["upto"] - first["last"]["n"]).otherwise(F.min(F.col("upto") - F.col("n"))).alias("below"),
+        F.when(two, first["last"]["v"]).otherwise(F.min("lo")).alias("lo"),
+        F.when(two, F.max(F.struct("bin", "lo"))["lo"]).otherwise(F.max("hi")).alias("hi"),
+        F.when(two, F.lit(2)).otherwise(F.sum("distinct_values")).cast("long").alias("distinct_values"),
     )

@@ -32,20 +32,23 @@ def answer(df: DataFrame, threshold: float = CONFIDENCE_THRESHOLD, k: int = TOP_
 
 def classify(
     requests: DataFrame,
-    score: Callable[[DataFrame], DataFrame],
+    score: Callable[..., DataFrame],
     threshold: float = CONFIDENCE_THRESHOLD,
     k: int = TOP_K,
 ) -> DataFrame:
     """Answer a table ``(doc_id, text)``; rows that cannot be scored come back with their reason.
 
-    ``score`` turns ``(doc_id, ticket_text, reject_reason)`` into ``(doc_id, reject_reason,
-    ranked)``. Rejected rows go through it with a null text, which costs nothing, so the input is
-    read once and nothing has to be joined back.
+    ``score`` turns ``(doc_id, ticket_text, reject_reason, request_id)`` into ``(doc_id,
+    reject_reason, request_id, ranked)``; it may sum over the rows of a ``doc_id``. Each row goes
+    through it under a number of its own, so that callers may repeat ids or leave them null. A stream
+    is scored row by row and keeps its ids. Rejected rows go through with a null text, which costs
+    nothing, so the input is read once and nothing has to be joined back.
     """
+    own = F.col("doc_id") if requests.isStreaming else F.monotonically_increasing_id()
     checked = check_requests(requests).select(
-        "doc_id", F.col("clean_text").alias("ticket_text"), "reject_reason"
+        own.alias("doc_id"), F.col("clean_text").alias("ticket_text"), "reject_reason", F.col("doc_id").alias("request_id")
     )
-    scored = score(checked).select("doc_id", "reject_reason", "ranked")
+    scored = score(checked, "request_id").select(F.col("request_id").alias("doc_id"), "reject_reason", "ranked")
     ok = F.col("reject_reason").isNull()
     answers = answer(scored, threshold, k)
     return answers.select(

@@ -107,7 +107,7 @@ def split_cuts(
 
 
 def assign_split(df: DataFrame, cuts: DataFrame, id_col: str = "doc_id", label: str = "category", seed: int = SEED) -> DataFrame:
-    """Add ``split`` (dev/holdout) and ``fold`` (null in the holdout)."""
+    """Add ``split`` (dev/holdout) and ``fold`` (null in the holdout); a row without label has neither."""
     # ``cuts`` has one row per class and ``split_cuts`` has checked the number of classes.
     h = order_digest(F.col(id_col), seed)
     fold = F.array_position(F.transform("cuts", lambda c: F.coalesce(F.col("_h") <= c, F.lit(False))), True)
@@ -115,7 +115,7 @@ def assign_split(df: DataFrame, cuts: DataFrame, id_col: str = "doc_id", label:
         df.withColumn("_h", h)
         .join(F.broadcast(cuts), label, "left")
         .withColumn("fold", F.when(fold > 0, (fold - 1).cast("int")))
-        .withColumn("split", F.when(F.col("fold").isNull(), "holdout").otherwise("dev"))
+        .withColumn("split", F.when(F.col(label).isNotNull(), F.when(F.col("fold").isNull(), "holdout").otherwise("dev")))
         .select(*df.columns, "split", "fold")
     )
 

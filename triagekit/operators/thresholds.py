@@ -60,7 +60,7 @@ def threshold_sweep(
         .withColumn("total", F.sum("n").over(Window.partitionBy()))
         .select(
             "idx",
-            F.round(F.col("idx") / points, 2).alias("threshold"),
+            F.round(F.col("idx") / points, 12).alias("threshold"),
             "accepted",
             (F.col("accepted") / F.nullif("total", F.lit(0))).alias("coverage"),
             (F.col("correct") / F.nullif("accepted", F.lit(0))).alias("precision"),

@@ -133,9 +133,9 @@ class Study:
         """A function that adds ``ranked`` to ``(doc_id, ticket_text, reject_reason)``."""
         model = model or self.final_model
 
-        def score(df: DataFrame) -> DataFrame:
+        def score(df: DataFrame, *keep: str) -> DataFrame:
             rows = self.terms(df.withColumn("part", F.lit(0)), model.header.rules[0].ngram_max)
-            return score_bayes(model, rows, "reject_reason")
+            return score_bayes(model, rows, "reject_reason", *keep)
 
         return score
 

@@ -117,5 +117,13 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """The request text out of a JSON string column."""
-    return df.withColumn("text", F.from_json(body, REQUEST_SCHEMA)["text"])
+    """The request text out of a JSON string column, and ``request_error``: ``malformed`` for what is not
+    a JSON object, ``not_text`` for a text that is not a string; the text is null then."""
+    parsed = F.try_parse_json(F.col(body))
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.text", "variant"))
+    whole = F.schema_of_variant(parsed)
+    error = F.when(F.col(body).isNotNull() & (parsed.isNull() | ~whole.startswith("OBJECT")), "malformed").when(
+        ~kind.isin("STRING", "VOID"), "not_text"
+    )
+    text = F.when(error.isNull(), F.try_variant_get(parsed, "$.text", "string"))
+    return df.withColumn("request_error", error).withColumn("text", text)

@@ -56,7 +56,9 @@ def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     """
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise  # something is there, but not a table: it stays
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
