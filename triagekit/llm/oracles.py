@@ -2,4 +2,43 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from triagekit.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def canonical_line(x: str) -> str:
+    out = f"lower({x})"
+    for pattern, to in SPELLINGS:
+        out = f"replace({out}, {quoted(pattern)}, {quoted(to)})"
+    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+LINES = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {canonical_line('x')})"
+WHOLE = f"md5(array_to_string(list_filter(lines, lambda x: x <> '' AND NOT regexp_matches(x, {quoted(COPYRIGHT_LINE)})), ' '))"
+
+LICENCES = f"""WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {WHOLE} AS digest FROM (
+SELECT licence, {LINES} AS lines FROM (VALUES {', '.join(f'({quoted(n)}, {quoted(t)})' for n, t in KNOWN)}) k(licence, text)))
+WHERE digest <> md5('') GROUP BY digest),
+d AS (SELECT doc_id, md5(coalesce(text, '')) AS raw, {LINES} AS lines FROM documents),
+notices AS (SELECT raw, string_agg(licence, ',' ORDER BY licence) AS notices FROM (SELECT DISTINCT raw, licence FROM (
+SELECT raw, unnest(lines) AS line FROM d) l JOIN known ON known.digest = md5(line) WHERE line <> '') GROUP BY raw),
+w AS (SELECT doc_id, raw, {WHOLE} AS digest FROM d)
+SELECT doc_id, digest, licence, notices FROM w LEFT JOIN known USING (digest) LEFT JOIN notices USING (raw)"""
+
+#: Each turn quotes the two before it, so quotes need not be parsed: they are the passages of those turns.
+QUOTES = r"""WITH RECURSIVE m AS (SELECT conv_id, turn, text, list_filter(list_transform(
+regexp_split_to_array(coalesce(text, ''), '\n(\s*\n)+'), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM conversations),
+near AS (SELECT conv_id, p, min(turn) AS first_turn FROM (SELECT conv_id, turn, unnest(ps) AS p FROM m) GROUP BY conv_id, p),
+q AS (SELECT a.conv_id, a.turn, a.text, coalesce(len(b.ps), 0) + coalesce(len(c.ps), 0) AS n_quoted, n.first_turn AS parent_turn
+FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN m c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2
+LEFT JOIN near n ON n.conv_id = a.conv_id AND n.p = b.ps[1]),
+t AS (SELECT conv_id, turn, turn AS thread_turn, 0::BIGINT AS depth FROM q WHERE parent_turn IS NULL
+UNION ALL SELECT q.conv_id, q.turn, t.thread_turn, t.depth + 1 FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.parent_turn)
+SELECT q.conv_id, q.turn, CASE WHEN parent_turn IS NOT NULL THEN q.conv_id END AS parent_conv, parent_turn, q.conv_id AS thread_conv, thread_turn,
+depth, n_quoted, n_quoted AS n_linked, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS own_md5
+FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn"""
+
+ORACLES: dict[str, str] = {"op3_quotation_linking": QUOTES, "op7_licences": LICENCES}
