@@ -190,7 +190,8 @@ def _only(docs: DataFrame, chosen: DataFrame, words_each: int, id_col: str, text
     key = F.col(names[docs.columns.index(id_col)]).cast("long")
     text = F.col(names[docs.columns.index(text_col)])
     marked = renamed.withColumn("row_fp", fingerprint_of(text, words_each)).withColumn("row_key", key)
-    met = marked.join(chosen, marked.row_key.eqNullSafe(chosen.chosen_id) & (marked.row_fp == chosen.chosen_fp), "left_semi")
+    # Null-safe for both: a plain equality makes Spark ask for fingerprints that are not null, which computes each twice.
+    met = marked.join(chosen, marked.row_key.eqNullSafe(chosen.chosen_id) & marked.row_fp.eqNullSafe(chosen.chosen_fp), "left_semi")
     return met.dropDuplicates(["row_key", "row_fp"]).select(*names).toDF(*docs.columns)
 
 
