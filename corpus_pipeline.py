@@ -23,9 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of at least one half, by a model of the labelled documents that are left."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    machine = fm.fit_quality(docs, labels, F.lit(True))
+    """Documents with a score of at least one half, by a model of the labelled documents.
+
+    The model sees all of them, also those that the rules rejected: what is left may hold no bad ones.
+    """
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    machine = fm.fit_quality(documents, labels, F.lit(True))
     return docs.where(fm.quality_score(docs, machine) >= QUALITY_AT)
 
 

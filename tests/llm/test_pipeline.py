@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_texts import plain_components, plain_fingerprint
+from tests.llm.test_texts import SF, plain_components, plain_fingerprint
 from tests.llm.test_tokens import check_packed
 from triagekit.llm import fm, rules, structure
 
@@ -36,12 +36,22 @@ def test_rules(stages):
     assert ids(stages[1]) == Counter(kept)
 
 
-def test_classifier(spark, sf, stages):
-    machine = fm.fit_quality(stages[1], spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
+def test_classifier(spark, sf, stages, documents):
+    machine = fm.fit_quality(documents, spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
     kept = [r.doc_id for r in stages[1].collect() if machine.score(r.text, r.n_chars) >= 0.5]
     assert ids(stages[2]) == Counter(kept)
 
 
+def test_classifier_rejects(spark):
+    """Given bad documents too, the stage drops most of them and keeps most good ones."""
+    documents, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    kept = set(ids(corpus_pipeline.quality_classifier(spark, documents, SF)))
+    labels = [(r.doc_id, r.quality) for r in labels.collect()]
+    bad, good = ([k for k, q in labels if q == x] for x in (0, 1))
+    assert bad and sum(k in kept for k in bad) <= 0.1 * len(bad)
+    assert sum(k in kept for k in good) >= 0.95 * len(good)
+
+
 def test_near_duplicates(stages):
     rows = [(r.doc_id, plain_fingerprint(r.text)) for r in stages[2].collect()]
     assert ids(stages[3]) == Counter({c for _, _, c in plain_components(rows, 2)})
