@@ -71,3 +71,27 @@ def test_a_broken_cache_is_not_overwritten(spark, tmp_path):
         load_or_build(spark, str(tmp_path / "t"), lambda: spark.range(3)).count()
     assert (tmp_path / "t" / "notes.txt").read_text() == "keep me"
     assert load_or_build(spark, str(tmp_path / "new"), lambda: spark.range(3)).count() == 3
+
+
+def test_study_keeps_rows_with_repeated_and_null_ids(small):
+    """The same texts under ids that repeat or are missing: every row has its own prediction."""
+    ids = F.when(F.col("doc_id") % 5 != 0, F.floor(F.col("doc_id") / 3)).cast("long")
+    study = Study(small.withColumn("doc_id", ids))
+    want = study.docs.groupBy("doc_id", "category").count().collect()
+    both = study.oof.select("doc_id", "category").unionByName(study.holdout_predictions.select("doc_id", "category"))
+    assert sorted(map(repr, both.groupBy("doc_id", "category").count().collect())) == sorted(map(repr, want))
+    # A row's vector is its own: its prediction does not hang on who shares its id.
+    assert study.features.groupBy("row_key").count().where("count > 1").count() == 0
+
+
+def test_chosen_model_drives_what_follows(small):
+    study = Study(small)
+    assert {r.model for r in study.candidate_summary.collect()} == {"baseline_most_frequent", "naive_bayes", "logistic_regression"}
+    for name, oof in (("naive_bayes", study.oof), ("logistic_regression", study.logistic_oof)):
+        study.__dict__["chosen"] = name
+        study.__dict__.pop("chosen_holdout", None)
+        assert study.chosen_oof is oof
+        held = study.chosen_holdout
+        assert held.count() == study.texts("holdout").count() and set(held.columns) == {"doc_id", "category", "predicted_label", "confidence", "ranked"}
+        answers = routing.classify(small.select("doc_id", F.col("ticket_text").alias("text")), study.chosen_scorer())
+        assert answers.count() == small.count()

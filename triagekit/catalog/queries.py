@@ -12,13 +12,13 @@ from triagekit.constants import (
 )
 from triagekit.functions.text import display_label, percent, term_list, tokens, without
 from triagekit.operators import embed, evaluate, logistic, profile, routing, split, thresholds, vectorize
-from triagekit.operators.bayes import BayesSpec, fit_bayes, log_likelihoods, score_bayes
+from triagekit.operators.bayes import BayesSpec, fit_bayes, load_bayes, log_likelihoods, save_bayes, score_bayes
 from triagekit.operators.clean import check_requests, clean_labelled
 from triagekit.operators.ranking import top_k
 from triagekit.plans import compare
-from triagekit.plans.study import Study, with_top
+from triagekit.plans.study import Study, best_setting, rank_settings, with_top
 from triagekit.sources import labelled, views
-from triagekit.sources.store import materialize, new_path
+from triagekit.sources.store import load_or_build, materialize, new_path, write_csv, write_metrics
 from triagekit.streaming import classify as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,7 +206,7 @@ def tfidf(spark, sf_dir):
 def tfidf_holdout(spark, sf_dir):
     """Statistics of development rows, applied to holdout rows: unseen terms have no weight."""
     st = study(spark, sf_dir, "t_lang")
-    rows = st.holdout_rows(st.features)
+    rows = st.holdout_rows(st.features, "doc_id")
     freq = vectorize.doc_frequency(rows)
     rule = vectorize.TermRule(ngram_max=2, min_df=3)
     return vectorize.tfidf_weights(rows.where("part = 0"), freq, rule).select("doc_id", "term", "tf", r6("weight"))
@@ -345,6 +345,83 @@ def nb_grid(spark, sf_dir):
     return out.select("spec", "alpha", "min_df", "ngram_max", r6("mean"), r6("std"), "rank")
 
 
+def tuning_report(spark, sf_dir):
+    """The best setting of naive Bayes."""
+    grid = study(spark, sf_dir, "t_role").grid()
+    return best_setting(grid, "naive_bayes", "alpha", "min_df", "ngram_max").select("model", "best_params", r6("mean"), r6("std"))
+
+
+def candidate_cv(spark, sf_dir):
+    """Baseline, naive Bayes and logistic regression on the same folds."""
+    return study(spark, sf_dir, "t_role").candidate_summary.select("model", r6("mean"), r6("std"), "folds")
+
+
+def chosen_model(spark, sf_dir):
+    """The candidate that the rule selects: its threshold and its score on the holdout, after a fit on all
+    development rows."""
+    st = study(spark, sf_dir, "t_role")
+    threshold = thresholds.choose_threshold(thresholds.threshold_sweep(st.chosen_oof), 0.6).select("threshold", F.lit(1).alias("one"))
+    held = st.chosen_holdout
+    counts = held.agg(F.count("*").alias("holdout_rows"), F.lit(1).alias("one"))
+    score = evaluate.macro_f1(held).select(F.col("macro_f1").alias("holdout_f1"), F.lit(1).alias("one"))
+    # One row each.
+    both = counts.join(F.broadcast(score), "one").join(F.broadcast(threshold), "one", "left")
+    return both.select(F.lit(st.chosen).alias("chosen"), "threshold", "holdout_rows", r6("holdout_f1"))
+
+
+def oof_by_conversation(spark, sf_dir):
+    """Ids that repeat: all turns of a conversation have one, and the first conversations have none."""
+    turns = views.table(spark, sf_dir, "conversations", "conv_id").select(
+        F.when(F.col("conv_id") % 7 != 0, F.col("conv_id")).alias("doc_id"), F.col("text").alias("ticket_text"),
+        F.col("role").alias("category"),
+    )
+    st = Study(turns)
+    rows = labelled.append_by_name(
+        st.oof.select("doc_id", "category", F.lit("dev").alias("split")),
+        st.holdout_predictions.select("doc_id", "category", F.lit("holdout").alias("split")),
+    )
+    return rows.groupBy("doc_id", "category").agg(F.count("*").alias("rows"))
+
+
+# --- tables written and read back ---------------------------------------------------------------
+
+
+def csv_round_trip(spark, sf_dir):
+    """Labelled texts written as CSV and loaded again."""
+    path = new_path(spark, "labelled-csv")
+    labelled.write_labelled(clean_labelled(views.t_lang(spark, sf_dir)), path)
+    return labelled.load_labelled(spark, path).select(F.md5("ticket_text").alias("text_md5"), "category")
+
+
+def report_csv(spark, sf_dir):
+    path = new_path(spark, "report-csv")
+    write_csv(class_histogram(spark, sf_dir), path)
+    return labelled.read_csv(spark, path).select("category", F.col("count").cast("long").alias("count"))
+
+
+def metric_report(spark, sf_dir):
+    """Mean text length per language, as lines with four decimal places."""
+    path = new_path(spark, "metrics")
+    docs = views.table(spark, sf_dir, "documents")
+    means = docs.groupBy(F.col("lang").alias("metric")).agg(F.avg(F.length("text")).alias("value"))
+    write_metrics(means, path, places=4)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def cache_reuse(spark, sf_dir):
+    """A cache is built once: the second call would build an empty table."""
+    path, counts = new_path(spark, "cache"), class_histogram(spark, sf_dir)
+    load_or_build(spark, path, lambda: counts)
+    return load_or_build(spark, path, lambda: counts.where("false"))
+
+
+def saved_model(spark, sf_dir):
+    """Weights of a model that was saved and loaded."""
+    path = new_path(spark, "saved-model")
+    save_bayes(study(spark, sf_dir, "t_role").final_model, path)
+    return log_likelihoods(load_bayes(spark, path)).select("term", "category", r6("weight_sum"), r6("log_likelihood"))
+
+
 # --- scoring and routing --------------------------------------------------------------------------
 
 
@@ -386,7 +463,8 @@ def response_json(spark, sf_dir):
     text = routing.response_json(done)
     back = F.from_json("response", "category string, confidence double, needs_review boolean, top_k array<struct<category:string,probability:double>>")
     return text.select("doc_id", back.alias("r")).select(
-        "doc_id", "r.category", "r.confidence", "r.needs_review", F.size("r.top_k").alias("n_top")
+        "doc_id", "r.category", "r.confidence", "r.needs_review",
+        F.array_join(F.transform("r.top_k", lambda x: F.concat(x["category"], F.lit("="), F.round(x["probability"] * 10_000).cast("int"))), "|").alias("top"),
     )
 
 
@@ -403,7 +481,7 @@ def stream_classify(spark, sf_dir):
 
 
 def dev_texts(st: Study) -> DataFrame:
-    return st.split(st.docs).where("split = 'dev'")
+    return st.texts("dev")
 
 
 def lr_oof(spark, sf_dir):
@@ -413,7 +491,7 @@ def lr_oof(spark, sf_dir):
 
 def lr_grid(spark, sf_dir):
     scores = logistic.logistic_grid(dev_texts(study(spark, sf_dir, "t_role")), N_FOLDS, GRID_NGRAM, GRID_MIN_DF, GRID_C)
-    return evaluate.cv_summary(scores, "C", "min_df", "ngram_max")
+    return rank_settings(evaluate.cv_summary(scores, "C", "min_df", "ngram_max"), "C", "min_df", "ngram_max")
 
 
 def lr_stream(spark, sf_dir):
@@ -462,7 +540,7 @@ def approach_compare(spark, sf_dir):
     nb = compare.approach_metrics(
         "naive_bayes", st.summary.where("model = 'naive_bayes'"), evaluate.macro_f1(st.holdout_predictions)
     )
-    texts = st.split(st.docs)
+    texts = st.split(st.docs).drop("split_key")
     dev, held = texts.where("split = 'dev'"), texts.where("split = 'holdout'")
     cv = lambda preds: evaluate.cv_summary(evaluate.macro_f1(with_top(preds), "fold"))
     model = logistic.fit_logistic(dev)
@@ -524,6 +602,15 @@ QUERIES: dict[str, Query] = {
     "holdout_eval": holdout_eval,
     "quality_gate": quality_gate,
     "nb_grid": nb_grid,
+    "tuning_report": tuning_report,
+    "candidate_cv": candidate_cv,
+    "chosen_model": chosen_model,
+    "oof_by_conversation": oof_by_conversation,
+    "csv_round_trip": csv_round_trip,
+    "report_csv": report_csv,
+    "metric_report": metric_report,
+    "cache_reuse": cache_reuse,
+    "saved_model": saved_model,
     "classify_batch": classify_batch,
     "route_counts": route_counts,
     "summary_lines": summary_lines,

@@ -6,6 +6,7 @@ HOLDOUT_SHARE = (15, 100)  # a ratio of integers, so that quotas are exact
 N_FOLDS = 5
 QUALITY_FLOOR = 0.55
 DEFAULT_MODEL = "naive_bayes"
+CHALLENGER_MODEL = "logistic_regression"
 
 # --- fixed values: candidate models and their grids ---------------------------------------
 NB_NGRAM, NB_MIN_DF, NB_ALPHA = 2, 1, 0.1

@@ -22,7 +22,7 @@ from triagekit.sources.store import materialize
 
 
 def order_digest(id_col: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), id_col.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
 
 
 def class_quotas(

@@ -6,18 +6,20 @@ there: the features, the split points, the out-of-fold predictions, the holdout
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagekit.constants import (
-    GRID_ALPHA, GRID_MIN_DF, GRID_NGRAM, HOLDOUT_SHARE, N_FOLDS, SEED, STOP_WORDS,
+    CHALLENGER_MODEL, DEFAULT_MODEL, GRID_ALPHA, GRID_MIN_DF, GRID_NGRAM, HOLDOUT_SHARE, N_FOLDS, SEED, STOP_WORDS,
 )
+from triagekit.operators import logistic
 from triagekit.operators.baseline import predict_majority
 from triagekit.operators.bayes import BayesModel, BayesSpec, fit_bayes, score_bayes
 from triagekit.operators.clean import clean_labelled
-from triagekit.operators.evaluate import cv_summary, macro_f1
+from triagekit.operators.evaluate import cv_summary, macro_f1, select_model
 from triagekit.operators.ranking import confidence, top_label
 from triagekit.operators.split import assign_split, split_cuts
 from triagekit.operators.vectorize import add_terms
@@ -35,7 +37,12 @@ def with_top(preds: DataFrame) -> DataFrame:
 
 
 class Study:
-    """``docs`` is ``(doc_id, ticket_text, category)`` with a unique ``doc_id``."""
+    """``docs`` is ``(doc_id, ticket_text, category)``.
+
+    Ids may repeat or be null: features carry a ``row_key`` of their own, and results the caller's id.
+    Rows with the same id share a fold; a row without id is split by the digest of its text. Only
+    ``worst_errors`` finds texts by id.
+    """
 
     def __init__(
         self,
@@ -46,7 +53,8 @@ class Study:
         seed: int = SEED,
         stop_words=STOP_WORDS,
     ):
-        self.docs = clean_labelled(docs)
+        by_text = F.concat(F.lit("text:"), F.md5("ticket_text"))
+        self.docs = clean_labelled(docs).withColumn("split_key", F.coalesce(F.col("doc_id").cast("string"), by_text))
         self.spec, self.folds, self.holdout, self.seed = spec, folds, holdout, seed
         self.stop_words = tuple(stop_words)
 
@@ -55,18 +63,18 @@ class Study:
 
     @cached_property
     def counted(self) -> DataFrame:
-        """``doc_id, category, terms`` of all rows: the only step that reads the texts."""
-        return materialize(self.terms(self.docs), "features")
+        """``doc_id, category, split_key, row_key, terms`` of all rows: the only step that reads the texts."""
+        return materialize(self.terms(self.docs.withColumn("row_key", F.monotonically_increasing_id())), "features")
 
     @cached_property
     def cuts(self) -> DataFrame:
         """Split points; reads ids and labels of the written features."""
-        ids = self.counted.select("doc_id", "category")
-        return split_cuts(ids, holdout=self.holdout, k=self.folds, seed=self.seed)
+        ids = self.counted.select("split_key", "category")
+        return split_cuts(ids, "split_key", holdout=self.holdout, k=self.folds, seed=self.seed)
 
     def split(self, df: DataFrame) -> DataFrame:
-        """Add ``split`` and ``fold`` to rows with ``doc_id`` and ``category``; map-side only."""
-        return assign_split(df, self.cuts, seed=self.seed)
+        """Add ``split`` and ``fold`` to rows with ``split_key`` (else ``doc_id``) and ``category``; map-side only."""
+        return assign_split(df, self.cuts, "split_key" if "split_key" in df.columns else "doc_id", seed=self.seed)
 
     @property
     def features(self) -> DataFrame:
@@ -76,25 +84,34 @@ class Study:
     def grid_features(self) -> DataFrame:
         if self.spec.ngram_max >= max(GRID_NGRAM):
             return self.features
-        return self.split(materialize(self.terms(self.docs, max(GRID_NGRAM)), "grid-features"))
+        keyed = self.docs.withColumn("row_key", F.monotonically_increasing_id())
+        return self.split(materialize(self.terms(keyed, max(GRID_NGRAM)), "grid-features"))
 
-    def cv_rows(self, features: DataFrame) -> DataFrame:
-        """Development rows; each is held out from its own fold."""
-        return features.where("split = 'dev'").select("doc_id", "category", F.col("fold").alias("part"), "terms")
+    def cv_rows(self, features: DataFrame, key: str = "row_key") -> DataFrame:
+        """Development rows; each is held out from its own fold. ``key`` is what models know a row by."""
+        return self._rows(features.where("split = 'dev'"), F.col("fold"), key)
 
-    def holdout_rows(self, features: DataFrame) -> DataFrame:
+    def holdout_rows(self, features: DataFrame, key: str = "row_key") -> DataFrame:
         """All rows; the holdout is held out from the only part, development rows from none."""
-        part = F.when(F.col("split") == "dev", -1).otherwise(0)
-        return features.select("doc_id", "category", part.alias("part"), "terms")
+        return self._rows(features, F.when(F.col("split") == "dev", -1).otherwise(0), key)
+
+    @staticmethod
+    def _rows(features: DataFrame, part: Column, key: str) -> DataFrame:
+        return features.select(
+            F.col(key).alias("doc_id"), F.col("doc_id").alias("source_id"), "category", part.alias("part"), "terms"
+        )
 
     @cached_property
     def oof(self) -> DataFrame:
         """Every development row scored once, by the model of the other folds."""
         rows = self.cv_rows(self.features)
         model = fit_bayes(rows, [self.spec], self.folds)
-        preds = with_top(score_bayes(model, rows, "category"))
+        preds = with_top(score_bayes(model, rows, "category", "source_id"))
         return materialize(
-            preds.select("doc_id", "category", F.col("part").alias("fold"), "predicted_label", "confidence", "ranked"),
+            preds.select(
+                F.col("source_id").alias("doc_id"), "category", F.col("part").alias("fold"), "predicted_label",
+                "confidence", "ranked",
+            ),
             "oof",
         )
 
@@ -106,13 +123,7 @@ class Study:
     @property
     def fold_scores(self) -> DataFrame:
         """``model, fold, macro_f1`` of the baseline and naive Bayes."""
-        both = None
-        for name, preds in (("baseline_most_frequent", self.baseline_oof), ("naive_bayes", self.oof)):
-            one = macro_f1(preds.select("fold", "category", "predicted_label"), "fold").select(
-                F.lit(name).alias("model"), "fold", "macro_f1"
-            )
-            both = one if both is None else both.unionByName(one)
-        return both
+        return scores_of({"baseline_most_frequent": self.baseline_oof, DEFAULT_MODEL: self.oof})
 
     @property
     def summary(self) -> DataFrame:
@@ -126,8 +137,50 @@ class Study:
     @cached_property
     def holdout_predictions(self) -> DataFrame:
         rows = self.holdout_rows(self.features).where("part = 0")
-        preds = with_top(score_bayes(self.final_model, rows, "category"))
-        return materialize(preds.select("doc_id", "category", "predicted_label", "confidence", "ranked"), "holdout")
+        preds = with_top(score_bayes(self.final_model, rows, "category", "source_id"))
+        named = preds.withColumn("doc_id", F.col("source_id"))
+        return materialize(named.select("doc_id", "category", "predicted_label", "confidence", "ranked"), "holdout")
+
+    def texts(self, split: str) -> DataFrame:
+        """Texts of the development rows (``dev``) or of the holdout."""
+        rows = self.split(self.docs).where(F.col("split") == split)
+        return rows.select("doc_id", "ticket_text", "category", "fold")
+
+    @cached_property
+    def logistic_oof(self) -> DataFrame:
+        """The same as ``oof``, by logistic regression."""
+        preds = with_top(logistic.logistic_oof(self.texts("dev"), self.folds, stop_words=self.stop_words))
+        return materialize(preds.select(*self.oof.columns), "logistic-study-oof")
+
+    @property
+    def candidate_summary(self) -> DataFrame:
+        """Mean and deviation of the baseline and of both candidates on the same folds."""
+        scores = scores_of({"baseline_most_frequent": self.baseline_oof, DEFAULT_MODEL: self.oof, CHALLENGER_MODEL: self.logistic_oof})
+        return cv_summary(scores, "model")
+
+    @cached_property
+    def chosen(self) -> str:
+        """The candidate that the rule selects; ``chosen_oof`` serves its reports and threshold."""
+        return select_model(self.candidate_summary, CHALLENGER_MODEL).first()["chosen"]
+
+    @property
+    def chosen_oof(self) -> DataFrame:
+        return self.logistic_oof if self.chosen == CHALLENGER_MODEL else self.oof
+
+    @cached_property
+    def final_logistic(self) -> PipelineModel:
+        return logistic.fit_logistic(self.texts("dev"), stop_words=self.stop_words)
+
+    @cached_property
+    def chosen_holdout(self) -> DataFrame:
+        """The holdout by the chosen model, fitted on all development rows."""
+        if self.chosen != CHALLENGER_MODEL:
+            return self.holdout_predictions
+        preds = with_top(logistic.score_logistic(self.final_logistic, self.texts("holdout"), "doc_id", "category"))
+        return materialize(preds.select("doc_id", "category", "predicted_label", "confidence", "ranked"), "logistic-holdout")
+
+    def chosen_scorer(self):
+        return logistic.logistic_scorer(self.final_logistic) if self.chosen == CHALLENGER_MODEL else self.scorer()
 
     def scorer(self, model: BayesModel | None = None):
         """A function that adds ``ranked`` to ``(doc_id, ticket_text, reject_reason)``."""
@@ -151,13 +204,30 @@ class Study:
         return rank_grid(cv_summary(scores, "spec"), specs)
 
 
+def scores_of(predictions: dict[str, DataFrame]) -> DataFrame:
+    """``model, fold, macro_f1`` of several models' predictions."""
+    one = lambda name, df: macro_f1(df.select("fold", "category", "predicted_label"), "fold").select(
+        F.lit(name).alias("model"), "fold", "macro_f1"
+    )
+    return reduce(DataFrame.unionByName, [one(*item) for item in predictions.items()])
+
+
+def rank_settings(summary: DataFrame, *params: str) -> DataFrame:
+    """Add the rank of each setting; of equal means the first in the order of ``params`` wins."""
+    order = Window.orderBy(F.desc(F.round("mean", 12)), *params)  # one row per setting
+    return summary.withColumn("rank", F.row_number().over(order))
+
+
+def best_setting(ranked: DataFrame, model: str, *params: str) -> DataFrame:
+    """One report row: the model, its best parameters as text in the order of their names, mean and deviation."""
+    text = F.concat_ws(", ", *[F.concat(F.lit(f"{p}="), F.col(p).cast("string")) for p in sorted(params)])
+    return ranked.where("rank = 1").select(F.lit(model).alias("model"), text.alias("best_params"), "mean", "std")
+
+
 def rank_grid(summary: DataFrame, specs: list[BayesSpec]) -> DataFrame:
     params = summary.sparkSession.createDataFrame(
         [(i, s.alpha, s.min_df, s.ngram_max) for i, s in enumerate(specs)],
         "spec int, alpha double, min_df int, ngram_max int",
     )
-    # One row per setting.
-    order = Window.orderBy(F.desc(F.round("mean", 12)), "spec")
-    return summary.join(F.broadcast(params), "spec").select(
-        "spec", "alpha", "min_df", "ngram_max", "mean", "std", F.row_number().over(order).alias("rank")
-    )
+    named = summary.join(F.broadcast(params), "spec").select("spec", "alpha", "min_df", "ngram_max", "mean", "std")
+    return rank_settings(named, "spec")

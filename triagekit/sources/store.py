@@ -68,15 +68,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def metric_lines(metrics: DataFrame) -> DataFrame:
-    """``key=value`` text lines from ``(metric, value)``; a metric without a value has no line."""
-    return metrics.where(F.col("value").isNotNull()).select(
-        F.concat_ws("=", "metric", F.col("value").cast("string")).alias("value")
-    )
+def metric_lines(metrics: DataFrame, places: int | None = None) -> DataFrame:
+    """``key=value`` text lines from ``(metric, value)``, with a fixed number of decimal places if given;
+    a metric without a value has no line."""
+    value = F.col("value").cast("string") if places is None else F.format_string(f"%.{places}f", "value")
+    return metrics.where(F.col("value").isNotNull()).select(F.concat_ws("=", "metric", value).alias("value"))
 
 
-def write_metrics(metrics: DataFrame, path: str) -> None:
-    metric_lines(metrics).write.mode("overwrite").text(path)
+def write_metrics(metrics: DataFrame, path: str, places: int | None = None) -> None:
+    metric_lines(metrics, places).write.mode("overwrite").text(path)
 
 
 def stored_megabytes(spark: SparkSession, path: str) -> float:
