@@ -313,11 +313,6 @@ SELECT 'naive_bayes' AS model, avg(macro_f1) AS m FROM fa UNION ALL SELECT 'base
         "nb_grid": _grid(),
         "tuning_report": f"""SELECT 'naive_bayes' AS model, 'alpha=' || alpha || ', min_df=' || min_df || ', ngram_max=' || ngram_max AS best_params,
 mean, std FROM ({_grid()}) WHERE rank = 1""",
-        # Holds where the rule keeps the default, as it does on the given tables.
-        "chosen_model": "SELECT 'naive_bayes' AS chosen, * FROM ("
-        + ctes(*role, SWEEP) + "SELECT (SELECT threshold FROM sw WHERE precision > 0.6 ORDER BY idx LIMIT 1) AS threshold), ("
-        + ctes(base("t_role"), split(), FINAL, tf("sp", 2), bayes(1), f1("oof", "fold", "fa"))
-        + "SELECT (SELECT round(macro_f1, 6) FROM fa) AS holdout_f1, count(*) AS holdout_rows FROM oof)",
         "classify_batch": ctes(*done) + flat,
         "stream_classify": ctes(*done) + flat,
         "route_counts": ctes(*done) + "SELECT route, count(*) AS count FROM an GROUP BY route",
