@@ -1,5 +1,7 @@
 """Quotation linking and licence lookup."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from tests.compare import connect, difference
@@ -73,6 +75,26 @@ def test_licences(spark):
     assert licences.scan_licences(docs.where("false"), known).count() == 0
 
 
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licence for r in licences.scan_licences(docs, licences.known_licences(spark)).orderBy("doc_id").collect()]
+
+
+def test_real_licence_files(spark):
+    """Licence files as published packages have them, title and copyright lines included, and all long texts."""
+    paths = sorted(Path(__file__).with_name("licences").glob("*.txt"))
+    texts = [p.read_text() for p in paths] + [text for name, text in licences.KNOWN if name in licences.LONG and len(text) > 1000]
+    names = [p.stem.removesuffix("-2") for p in paths] + [name for name, text in licences.KNOWN if name in licences.LONG and len(text) > 1000]
+    assert found(spark, texts) == names and set(licences.LONG) | {"MIT", "ISC"} <= set(names)
+
+
+def test_titles_and_clauses(spark):
+    mit, bsd2, bsd3 = licences.SHORT[1][1], licences.BSD.format(third=""), licences.BSD.format(third=licences.BSD_NAMES)
+    texts = ["MIT License\n\nCopyright (c) 2024 X\n\n" + mit, "The MIT License (MIT)\n" + mit, bsd2, bsd3, "BSD License\n" + bsd3,
+             "Another License\n" + mit, mit + "\nBut not on Sundays.", bsd3.replace("2. ", "* ").replace("1. ", "* ").replace("3. ", "* ")]
+    assert found(spark, texts) == ["MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", None, None, "BSD-3-Clause"]
+
+
 def test_same_rows_as_sql(spark, sf):
     con = connect(sf)
     for name, sql in oracles.ORACLES.items():

@@ -8,6 +8,9 @@ functions only.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"^((copyright|c) (.* )?([0-9]{4}|yyyy|year)( .*)?|all rights reserved)$"
 
 # --- fixed values: known licence texts and notices ----------------------------------------------------
-KNOWN = (
+SHORT = (
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this permission notice appear in all copies.
 
@@ -53,6 +56,57 @@ OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
 )
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+"""
+#: Licences whose full texts, title included, are the files of ``licence_texts``.
+LONG = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
+#: Title lines with which copies of the short texts start, or none.
+TITLES = {
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(MIT)", "MIT"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "The BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "The BSD License", "New BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """``(licence, text)`` of all known texts in the forms that copies have: with and without a title, with
+    clauses numbered or not, with and without what follows the end of the terms."""
+    isc, mit = SHORT[:2]
+    bsd = (("BSD-2-Clause", BSD.format(third="")), ("BSD-3-Clause", BSD.format(third=BSD_NAMES)))
+    bodies = [isc, mit, (isc[0], isc[1].replace("and/or distribute", "and distribute"))]
+    names = ("HOLDER OR", "OWNER OR", "HOLDERS OR")
+    forms = [(name, text.replace("HOLDER OR", of)) for name, text in bsd for of in names]
+    forms += [(name, text.replace("COPYRIGHT HOLDERS AND", "REGENTS AND").replace("COPYRIGHT HOLDER OR", "REGENTS OR")) for name, text in bsd]
+    bodies += [(name, form) for name, text in forms for form in (text, re.sub(r"(?m)^\d\. ", "", text))]
+    titled = [(name, f"{title}\n{text}") for name, text in bodies for title in TITLES[name]]
+    long = [(name, files(__package__).joinpath("licence_texts", f"{name}.txt").read_text("utf-8")) for name in LONG]
+    apache = long[0][1]
+    long += [("Apache-2.0", form) for form in (apache.partition("Copyright [yyyy]")[0], re.sub(r"\([a-d]\) ", "", apache))]
+    ends = [(name, text.partition(END_OF_TERMS)[0] + more) for name, text in long if END_OF_TERMS in text for more in (END_OF_TERMS, "")]
+    return tuple(dict.fromkeys([*SHORT, *bodies, *titled, *long, *ends]))
+
+
+KNOWN = known_texts()
 
 
 def canonical_lines(text: Column) -> Column:
