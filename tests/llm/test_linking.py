@@ -1,5 +1,6 @@
 """Quotation linking and licence lookup."""
 
+import textwrap
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def test_real_licence_files(spark):
     paths = sorted(Path(__file__).with_name("licences").glob("*.txt"))
     texts = [p.read_text() for p in paths] + [text for name, text in licences.KNOWN if name in licences.LONG and len(text) > 1000]
     names = [p.stem.removesuffix("-2") for p in paths] + [name for name, text in licences.KNOWN if name in licences.LONG and len(text) > 1000]
-    assert found(spark, texts) == names and set(licences.LONG) | {"MIT", "ISC"} <= set(names)
+    assert found(spark, texts) == names and set(licences.LONG) | {"MIT", "ISC", "BSD-3-Clause"} <= set(names)
 
 
 def test_titles_and_clauses(spark):
@@ -95,6 +96,28 @@ def test_titles_and_clauses(spark):
     assert found(spark, texts) == ["MIT", "MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", None, None, "BSD-3-Clause"]
 
 
+def test_licences_wrapped_otherwise(spark):
+    mit, isc, bsd3 = licences.SHORT[1][1], licences.SHORT[0][1], licences.BSD.format(third=licences.BSD_NAMES)
+    wrapped = lambda text, width: "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+    own = "Copyright (c) 2024 Jane Doe"
+    one_line = [" ".join(f"{title} {own} {text}".split()) for title, text in (("", mit), ("MIT License", mit), ("", isc), ("", bsd3))]
+    one_line.append(" ".join(f"{own}. All rights reserved. {bsd3}".split()))
+    broken = [mit.replace("COPYRIGHT HOLDERS", to) for to in ("COPYRIGHT\nHOLDERS", "copyright  holders", "copyright\r\n   holders")]
+    narrow = [wrapped(f"MIT License\n\n{own}\n\n{mit}", width) for width in (28, 33, 60, 200)]
+    longer = [(name, wrapped(text, 50)) for name, text in licences.KNOWN if name in licences.LONG and len(text) > 1000]
+    assert found(spark, [*one_line, *broken, *narrow]) == ["MIT", "MIT", "ISC", "BSD-3-Clause", "BSD-3-Clause", *["MIT"] * 7]
+    assert found(spark, [text for _, text in longer]) == [name for name, _ in longer]
+
+
+def test_only_copyright_statements_are_dropped(spark):
+    mit = licences.SHORT[1][1]
+    prose = "Copyright 1976 " + "was a year of many words " * 10
+    others = ["Copyright (c) 2010-2024 A and B\n(c) by C, 2011\nCopyright D 2012. All rights reserved.\n" + mit, "Copyright (c) Meta Platforms, Inc. and affiliates.\n\n" + mit]
+    assert found(spark, [f"{prose}\n{mit}", f"Copyright law has rules. In 1976 came more of them, said the court.\n{mit}", *others]) == [None, None, "MIT", "MIT"]
+    empty = spark.range(1).select(F.md5(licences.canonical(F.lit(prose))) == F.md5(F.lit("")))
+    assert not empty.first()[0]
+
+
 def test_same_rows_as_sql(spark, sf):
     con = connect(sf)
     for name, sql in oracles.ORACLES.items():

@@ -1,7 +1,7 @@
 """Canonical digest lookup of licence texts.
 
 A text is reduced to what a licence is recognised by: lower case, one spelling of words that are spelled
-in several ways, letters and digits only, no copyright lines, no line ends. The digest of what is left is
+in several ways, letters and digits only, no copyright statements, no line ends. The digest of what is left is
 joined to the digests of known licences. Notices are looked up the same way, line by line. Built-in
 functions only.
 """
@@ -26,7 +26,9 @@ SPELLINGS = (
     ("©", "(c)"),
     ("&", " and "),
 )
-# --- fixed values: lines that name a holder or a year and differ in every copy ---------------------------
+#: Spellings of words with a blank, a sign or a line end between them: applied when those are single blanks.
+PHRASES = (("non commercial", "noncommercial"), ("copyright holder", "copyright owner"))
+# --- fixed values: lines that name a holder or a year and differ in every copy, in the SQL twin -----------
 COPYRIGHT_LINE = r"^((copyright|c) (.* )?([0-9]{4}|yyyy|year)( .*)?|all rights reserved)$"
 
 # --- fixed values: known licence texts and notices ----------------------------------------------------
@@ -108,6 +110,31 @@ def known_texts() -> tuple[tuple[str, str], ...]:
 
 KNOWN = known_texts()
 
+# --- fixed values: statements that name a holder or a year and differ in every copy ------------------------
+#: First words of known texts after such a statement; it ends there if they stand on the same line.
+OPENINGS = (
+    "permission is hereby granted free", "permission to use copy modify", "redistribution and use in source",
+    "everyone is permitted to copy", "licensed under the apache license", "this program is free software", "this library is free software",
+)
+_YEAR = "(?:[0-9]{4}|19yy|yyyy|year)"
+_MARK = "(?:copyright|c)(?: (?:copyright|c|by))*"
+_END = f"(?=$| (?:{'|'.join(OPENINGS)}))"
+_TITLE = "|".join(sorted({" ".join(re.findall("[a-z0-9]+", t.lower())) for ts in TITLES.values() for t in ts}, key=len, reverse=True))
+#: At the start of a line or after a title: the year and then the holder, the holder and then the year, or "copyright (c)" and
+#: the holder, up to the end of the line, if that is near, or an opening. The title is the first group.
+STATEMENT = (
+    f"(?m)^((?:(?:{_TITLE}) )?)(?:{_MARK} {_YEAR}(?: [^ \\n]+){{0,30}}?{_END}"
+    f"|{_MARK}(?: [^ \\n]+){{1,8}}? {_YEAR}(?: {_YEAR}| present)*(?: all rights reserved)?{_END}"
+    f"|copyright c(?: [^ \\n]+){{1,12}}?{_END}|all rights reserved{_END})"
+)
+#: Statements of the long texts themselves, which stand in the middle of a line when it is wrapped otherwise.
+FIXED_STATEMENT = re.sub(" ", "[ \\\\n]", (
+    f"\\bcopyright (?:c )?(?:{_YEAR} name of (?:author|copyright owner)|(?:[0-9]{{4}} )+free software foundation inc"
+    "(?: 51 franklin street fifth floor boston ma 02110 1301 usa| 59 temple place suite 330 boston ma 02111 1307 usa| https fsf org)?)\\b"
+))
+#: The holder whose name the third clause of the BSD licence protects.
+NAMES_OF = "neither the name of (?:[^ ]+ ){1,12}?nor the names of its contributors"
+
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line; a line without letters and digits is empty."""
@@ -116,15 +143,25 @@ def canonical_lines(text: Column) -> Column:
         out = F.lower(raw)
         for pattern, to in SPELLINGS:
             out = F.replace(out, F.lit(pattern), F.lit(to))
-        return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+        return spelled(F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")))
 
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
 
 
+def spelled(words: Column) -> Column:
+    """Words, one blank apart, with one spelling of phrases."""
+    for pattern, to in PHRASES:
+        words = F.replace(words, F.lit(pattern), F.lit(to))
+    return words
+
+
 def canonical(text: Column) -> Column:
-    """Canonical form of a whole text; empty if nothing but copyright lines is left."""
-    kept = F.filter(canonical_lines(text), lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
-    return F.array_join(kept, " ")
+    """Canonical form of a whole text, however its lines are wrapped; empty if nothing but copyright statements
+    is left. Of a copyright statement that goes on in the next line, what stands there is kept."""
+    lines = F.array_join(F.filter(canonical_lines(text), lambda x: x != ""), "\n")
+    kept = F.regexp_replace(F.regexp_replace(lines, FIXED_STATEMENT, ""), STATEMENT, "$1")
+    words = F.trim(F.regexp_replace(kept, r"[ \n]+", " "))
+    return spelled(F.regexp_replace(words, NAMES_OF, "neither the name of the copyright holder nor the names of its contributors"))
 
 
 def known_licences(spark: SparkSession, known=KNOWN) -> DataFrame:
@@ -137,7 +174,7 @@ def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """One row per document: digest of its canonical text, the licence that its entire text is, or null,
     and the licences that entire lines of it name, sorted and joined by commas, or null.
 
-    An empty text, or one of copyright lines only, has the digest of the empty text, which no licence
+    An empty text, or one of copyright statements only, has the digest of the empty text, which no licence
     has. Null texts are empty. Repeated rows and null ids are looked up like others; an empty table gives
     no rows. Other columns are ignored. ``known`` has one row per digest.
     """
