@@ -65,6 +65,37 @@ def test_quality_rules_empty(none):
     assert rules.quality_verdicts(none).count() == 0 == rules.keep_good(none).count()
 
 
+SCRIPTS = {
+    "hindi": ("यह वह है और में से का की के को पर नदी पहाड़ किताब सुबह शाम बच्चे विद्यालय जाते लिखते पढ़ते गाँव शहर बाज़ार सब्ज़ी दूध पानी लोग काम करते देश", "।", " "),
+    "arabic": ("في من على إلى هذا كان البيت الكتاب المدرسة الولد قرأ كتب ذهب صباح مساء السوق الماء الناس عمل مدينة قرية جديد كبير صغير طويل بعد قبل", ".", " "),
+    "urdu": ("یہ وہ ہے اور میں سے کا کی کے کو پر دریا پہاڑ کتاب صبح شام بچے اسکول جاتے لکھتے پڑھتے گاؤں شہر بازار دودھ پانی لوگ کام", "۔", " "),
+    "chinese": ("我们 今天 早上 学校 老师 学生 读书 写字 城市 乡村 市场 买菜 喝水 工作 回家 山上 河边 朋友 一起 走路 看见 新的 大的 小的", "。\n", ""),
+    "thai": ("วันนี้ เช้า โรงเรียน ครู นักเรียน อ่าน หนังสือ เขียน เมือง บ้าน ตลาด ซื้อ ผัก ดื่ม น้ำ ทำงาน กลับ ภูเขา แม่น้ำ เพื่อน", " ", ""),
+}
+
+
+def clean_text(name, sentences=70):
+    words, end, blank = SCRIPTS[name]
+    rng = np.random.default_rng(5)
+    return "".join(blank.join(rng.choice(words.split(), rng.integers(7, 12))) + end + blank for _ in range(sentences))
+
+
+def test_clean_texts_of_other_scripts_are_kept(spark, documents):
+    names = sorted(SCRIPTS)
+    texts = [(-1 - i, clean_text(name)) for i, name in enumerate(names)]
+    spam = [(-100 - i, (clean_text(name, 2) + "\n") * 60) for i, name in enumerate(names)]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(texts + spam, "doc_id long, text string"))
+    kept = {r.doc_id: r.kept for r in rules.quality_verdicts(docs).where("doc_id < 0").collect()}
+    assert kept == {k: True for k, _ in texts} | {k: False for k, _ in spam}
+    assert {r.doc_id for r in rules.keep_good(docs).where("doc_id < 0").collect()} == {k for k, _ in texts}
+
+
+def test_words_and_sentences_of_other_scripts():
+    s = structure.structure("यह है। ÄÖ é Ünï 北京！ abc.")
+    assert (s.n_brief, s.n_ends, s.n_capitals, s.n_spaced) == (6, 3, 3, 7)
+    assert structure.structure("北京 天气 abc").n_spaced == 0
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(3)
     accuracy, n = np.array([0.95, 0.9, 0.8, 0.7, 0.6]), 20_000

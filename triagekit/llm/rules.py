@@ -49,15 +49,16 @@ class Rule:
 
 
 NO_LIMIT = float("inf")
-#: Ratios of structure counts, with what speaks for a text and what does not speak against it.
+#: Ratios of structure counts, with what speaks for a text and what does not speak against it. What depends on
+#: blanks between words abstains where the script has none.
 RULES = (
     Rule("repeats", "n_repeat_words", "n_words", (0.0, 0.1), (0.0, 0.3)),
     Rule("symbols", "n_symbols", "n_words", (0.0, 0.02), (0.0, 0.1)),
     Rule("copied_lines", "n_dup_lines", "n_lines", (0.0, 0.1), (0.0, 0.3)),
-    Rule("word_length", "word_chars", "n_words", (3.0, 9.0), (2.0, 13.0)),
-    Rule("upper_case", "n_upper", "n_letters", (0.0, 0.1), (0.0, 0.3)),
-    Rule("short_words", "n_short", "n_words", (0.15, 0.8), (0.05, 0.95)),
-    Rule("sentences", "n_stops", "n_words", (0.02, 0.25), (0.005, 0.5)),
+    Rule("word_length", "word_chars", "n_spaced", (3.0, 9.0), (2.0, 13.0)),
+    Rule("upper_case", "n_capitals", "n_alphabetic", (0.0, 0.1), (0.0, 0.3)),
+    Rule("short_words", "n_brief", "n_spaced", (0.15, 0.8), (0.05, 0.95)),
+    Rule("sentences", "n_ends", "n_spaced", (0.02, 0.25), (0.005, 0.5)),
     Rule("no_letters", "n_bare", "n_words", (0.0, 0.05), (0.0, 0.2)),
     Rule("variety", "n_distinct", "n_words", (0.2, 1.0), (0.08, 1.0)),
 )
