@@ -41,4 +41,25 @@ SELECT q.conv_id, q.turn, CASE WHEN parent_turn IS NOT NULL THEN q.conv_id END A
 depth, n_quoted, n_quoted AS n_linked, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS own_md5
 FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn"""
 
-ORACLES: dict[str, str] = {"op3_quotation_linking": QUOTES, "op7_licences": LICENCES}
+
+
+def vector_codes() -> str:
+    """Product quantisation by comparing every part with every entry: 16 parts, 64 entries, two rounds."""
+    nearest = """(SELECT v.vec_id, v.part, v.x, min({{'d': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.entry}}) AS near
+FROM v JOIN {books} b USING (part) GROUP BY v.vec_id, v.part, v.x)"""
+    moved = """(SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS x FROM (
+SELECT part, near.e AS entry, i, sum(x[i]) AS s, count(*) AS n FROM {near} a, range(1, len(x) + 1) r(i) GROUP BY part, near.e, i) GROUP BY part, entry) m USING (part, entry))"""
+    return f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS x FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p::INT AS part, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS x FROM kept, range(16) r(p)),
+b0 AS MATERIALIZED (SELECT part, e.entry, v.x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64) e USING (vec_id)),
+a0 AS MATERIALIZED {nearest.format(books='b0')}, b1 AS MATERIALIZED {moved.format(books='b0', near='a0')},
+a1 AS MATERIALIZED {nearest.format(books='b1')}, b2 AS MATERIALIZED {moved.format(books='b1', near='a1')}, a2 AS MATERIALIZED {nearest.format(books='b2')},
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', near.e), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_quotation_linking": QUOTES, "op7_licences": LICENCES, "op13_vector_codes": vector_codes(),
+}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagekit.llm import binary, fm, licences, pack, phrases, quotes, rules, simhash, toxic, words
+from triagekit.llm import (
+    binary, codes, fm, licences, pack, phrases, quotes, rules, runs, simhash, templates, toxic, words,
+)
 from triagekit.sources.store import new_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -94,6 +98,44 @@ def op10_quality_classifier(spark, sf_dir):
     )
 
 
+#: Verdicts for hosts with their subdomains, and paths that start like this.
+URL_RULES = [
+    templates.Rule(templates.BLOCK, "net"), templates.Rule(templates.ALLOW, "example.net", "/en/"),
+    templates.Rule(templates.BLOCK, "example.com", "/de/"), templates.Rule(templates.ALLOW, "org", "/fr/"),
+]
+
+
+def op11_url_templates(spark, sf_dir):
+    return templates.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """In one document of ten, by the digest of its id, the words from a certain one on repeat with a period."""
+    digest = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or not words or digest % 10:
+        return words
+    n, g = len(words), digest // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), planted_period)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("longest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * longest.length DIV longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark, sf_dir):
+    coded = codes.compress_vectors(table(spark, sf_dir, "embeddings"), codes.PARTS, codes.ENTRIES, codes.ROUNDS)
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -105,4 +147,7 @@ QUERIES = {
     "op8_word_bpe": op8_word_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_url_templates": op11_url_templates,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
