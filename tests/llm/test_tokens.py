@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,15 +24,39 @@ def ids_of(path, text):
     return LIBRARY[path].encode(text or "", add_special_tokens=False).ids
 
 
-PLAIN_WORDS = st.lists(st.text(st.sampled_from(list("aBzÀÖ×÷ßɏɐḁ1_.,;:!?#$%&*|'")), max_size=8), max_size=8).map(" ".join)
+LINED = st.lists(st.sampled_from(["a", "B,", "'s", "x'll", "1\u00b2", "\u00e9.", "<|endoftext|>", "\n", "\n\n", " ", "  ", "\t", "\r\n", "\u00a0", "\x1c", "\u5317"]), max_size=24)
 
 
-@settings(max_examples=300, deadline=None)
-@given(PLAIN_WORDS)
-def test_plain_words_have_the_ids_of_the_text(text):
-    own = encode.IdEncoder.__new__(encode.IdEncoder)
-    own.__dict__ |= encode.encoder(BYTE).__dict__ | {"known": {}}
-    assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == ids_of(BYTE, text)
+def fresh():
+    return encode.IdEncoder(BYTE)
+
+
+FRESH = fresh()
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(LINED.map("".join), max_size=4), st.booleans())
+def test_lines_have_the_ids_of_the_text(texts, forget):
+    if forget:
+        for kept in (*FRESH.words.values(), FRESH.others):
+            kept.now, kept.before = {}, {}
+    got = FRESH.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(BYTE, t) for t in texts]
+
+
+def test_few_words_are_kept(monkeypatch):
+    monkeypatch.setattr(encode, "KEPT_WORDS", 40)
+    monkeypatch.setattr(encode, "GROUP_BYTES", 400)
+    own, texts = fresh(), [" ".join(f"w{'xyz'[i % 3] * ((i * j) % 97)}{'z' * (150 if i % 9 == 0 else 1)}" for j in range(60)) for i in range(40)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in own.encode(texts)] == [ids_of(BYTE, t) for t in texts]
+    kept = own.words[" "]
+    assert 0 < max(len(kept.now), len(kept.before)) <= 40
+    assert not any(len(w) > encode.LONG_WORD for w in [*kept.now, *kept.before])
+
+
+def test_pieces_of_a_sliced_column():
+    texts = pa.array(["skip", "a b\n\nc", None, "", " x  y", "d e."]).slice(1)
+    assert [np.frombuffer(g, "<u4").tolist() for g in fresh().encode(texts)] == [ids_of(BYTE, t) for t in texts.to_pylist()]
 
 
 def crc(ids):

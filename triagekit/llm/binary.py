@@ -72,7 +72,7 @@ def write_ids(
                 n_null += keys.null_count
                 n_docs += len(keys)
                 ends = []
-                for ids in encode(t.as_py() for t in batch.column(1)):
+                for ids in encode(batch.column(1)):
                     whole = np.frombuffer(ids + end, "<u4")
                     _append(ids_file, whole.astype(f"<u{width}"))
                     at += len(whole)

@@ -195,7 +195,7 @@ def pack_documents(
 
         def pieces() -> Iterator[Piece]:
             for batch in batches:
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(t.as_py() for t in batch.column(1))):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                     whole = memoryview(ids + end)
                     yield Piece(doc_id, 0, len(whole) // ID_BYTES, whole)
 
