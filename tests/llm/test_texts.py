@@ -1,6 +1,7 @@
 """Quality rules, fingerprints, near-duplicates and classifiers against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -340,6 +341,57 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc([r.score for r in rows], [r.toxic for r in rows]) > 0.95
 
 
+def test_many_harmless_sentences_stay_harmless(spark):
+    documents, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxic.fit_toxicity(documents, labels, fm.crc32_of("doc_id") % 4 != 2)
+    clean = [r.text for r in documents.join(labels.where("toxic = 0"), "doc_id").where(fm.crc32_of("doc_id") % 4 == 2).orderBy("doc_id").collect()]
+    toxic_one = documents.join(labels.where("toxic = 1"), "doc_id").where(fm.crc32_of("doc_id") % 4 != 2).orderBy(F.length("text")).first().text
+    long = ["wooden table stands near window. " * 10_000, "\n".join(clean[:50]), "wooden table stands near window. " * 10_000 + "\n" + toxic_one]
+    scores = [r.score for r in toxic.toxicity(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    alone = toxic.document_score(model.sentences(*toxic.bag(toxic_one)[:2]))
+    assert scores[0] < 0.02 and scores[1] < 0.3 and scores[2] >= alone - 1e-9
+
+
+def test_toxicity_scores_are_the_noisy_or(spark, documents):
+    """Every score recomputed word by word, without arrays."""
+    model = toxic.fit_toxicity(documents, spark.read.parquet(f"{SF}/labels.parquet"), fm.crc32_of("doc_id") % 4 != 2)
+
+    def plain(text):
+        scores = []
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            words = set(re.findall(r"\w+", sentence.lower()))
+            buckets = {zlib.crc32(k.encode()) % toxic.BUCKETS for w in words for k in [f"w{w}"] + [f"{n}{w[:n]}" for n in (4, 5) if len(w) > n]}
+            if buckets:
+                z = model.bias + sum(float(model.weights[b]) for b in buckets)
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        if not scores:
+            return 0.0
+        left = 1 - toxic.MOST_PRIOR * len(scores) / (len(scores) + toxic.HALF_PRIOR)
+        for p in [p for p in scores if p >= toxic.FAINT] + [max([p for p in scores if p < toxic.FAINT], default=0.0)]:
+            left *= 1 - min(p, 1 - 1e-12)
+        return 1 - left
+
+    got = {r.doc_id: r.score for r in toxic.toxicity(documents, model).collect()}
+    expected = {r.doc_id: plain(r.text) for r in documents.collect()}
+    assert got == pytest.approx(expected, abs=1e-9)
+
+
+def test_repeats_of_a_sampled_id_are_reduced_first(spark):
+    rows = [(i, 1, "good words here") for i in range(5)]
+    docs = spark.createDataFrame([(0, f"text {i % 7}") for i in range(3000)] + [(1, "x" * 60_000), (2, None), (3, ""), (None, "y")], "doc_id long, text string")
+    sample = spark.createDataFrame([r[:2] for r in rows], "sample_id long, sample_label int")
+    schema = "sample_id long, text string"
+
+    def echo(batches):
+        for batch in batches:
+            yield batch.select(["sample_id", "text"])
+
+    args = (sample, echo, schema, "doc_id", 50_000, F.col("text"))
+    got = fm.training_rows(docs, *args)
+    assert [r[0] for r in got] == [0, 2, 3] and got[0][1].startswith("text") and got[1][1] is None
+    assert got == fm.training_rows(docs.repartition(7), *args)
+
+
 def test_offending_sentences_are_found(spark):
     rows = [(i, f"All is well here. {'You are a moron today.' if i % 4 == 0 else 'You are a friend today.'} The end.") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -24,6 +24,8 @@ BUCKETS = 1 << 16
 RANK = 8
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 4000
+#: Labelled texts of more characters are not in the sample, which bounds what reaches the driver.
+SAMPLE_CHARS = 200_000
 EPOCHS = 8
 BATCH = 64
 RATE = 0.05
@@ -138,14 +140,17 @@ def labelled_sample(labels: DataFrame, label_col: str, allowed: Column, rows: in
     )
 
 
-def training_rows(docs: DataFrame, sample: DataFrame, extract, schema: str, id_col: str, *columns: Column) -> list:
-    """What ``extract`` makes of the sampled documents, one of each id; bounded by the sample."""
-    picked = docs.select(F.col(id_col).cast("long").alias("sample_id"), *columns).join(F.broadcast(sample), "sample_id")
-    rows = picked.mapInArrow(extract, schema).collect()
-    first = {}
-    for r in sorted(rows, key=lambda r: (r[0], [bytes(x) if isinstance(x, bytearray) else x for x in r[1:]])):
-        first.setdefault(r[0], r)
-    return [first[k] for k in sorted(first)]
+def training_rows(docs: DataFrame, sample: DataFrame, extract, schema: str, id_col: str, most_chars: int, text: Column, *columns: Column) -> list:
+    """What ``extract`` makes of the sampled documents, one row of each id: the one with the least digest.
+
+    Repeated ids are reduced before anything is extracted or collected, and texts of more than ``most_chars``
+    characters are left out, so at most (rows of the sample) x (features of ``most_chars`` characters) are collected.
+    """
+    picked = docs.select(F.col(id_col).cast("long").alias("sample_id"), text, *columns).join(F.broadcast(sample), "sample_id")
+    names = [c for c in picked.columns if c != "sample_id"]
+    digest = F.struct(*[F.xxhash64(F.lit(seed), *names) for seed in (1, 2)])
+    one = picked.where(F.coalesce(F.length("text"), F.lit(0)) <= most_chars).groupBy("sample_id").agg(F.min_by(F.struct(*names), digest).alias("row"))
+    return sorted(one.select("sample_id", "row.*").mapInArrow(extract, schema).collect(), key=lambda r: r[0])
 
 
 def _metadata(docs: DataFrame) -> Column:
@@ -156,7 +161,7 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Machine:
-    """Fit on at most ``sample_rows`` documents whose label row satisfies ``allowed``."""
+    """Fit on at most ``sample_rows`` documents, of ``SAMPLE_CHARS`` characters at most, whose label row satisfies ``allowed``."""
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +175,7 @@ def fit_quality(
 
     sample = labelled_sample(labels, label_col, allowed, sample_rows)
     rows = training_rows(
-        docs, sample, extract, "sample_id long, label int, i binary, x binary", id_col,
+        docs, sample, extract, "sample_id long, label int, i binary, x binary", id_col, SAMPLE_CHARS,
         F.col(text_col).cast("string").alias("text"), _metadata(docs),
     )
     return fit_machine([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32), r[1]) for r in rows])

@@ -130,7 +130,9 @@ def links(fingerprints: DataFrame, radius: int = MAX_BITS, tile: int = TILE) ->
         .where(inside)
         .select(_class(moved).alias("class"), F.col("class").alias("from_class"), F.col("cut").alias("from_cut"), F.col("fps").alias("visitors"))
     )
-    pairs = tiles.select("class", "cut", "fps").join(visits, "class").where(
+    # Each visitor goes to every tile of the class, so a class with many tiles is many keys.
+    visits = visits.join(F.broadcast(sizes), "class").withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).drop("cuts")
+    pairs = tiles.select("class", "cut", "fps").join(visits, ["class", "cut"]).where(
         (F.col("class") != F.col("from_class")) | (F.col("from_cut") <= F.col("cut"))
     )
 
@@ -152,6 +154,16 @@ def components_of(fingerprints: DataFrame, radius: int = MAX_BITS) -> DataFrame:
     return components(links(fingerprints.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "component")
 
 
+def classes_of(table: DataFrame, radius: int) -> DataFrame:
+    """``(fp, component_id)`` of each distinct fingerprint of a written table with ``doc_id`` and ``fp``."""
+    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    joined = components_of(distinct, radius)
+    named = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = materialize(named, "named-fingerprints")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("fp", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, words_each: int = SHINGLE_WORDS, radius: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -164,35 +176,30 @@ def near_duplicates(
     table = materialize(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(F.col(text_col), words_each).alias("fp")), "fingerprints"
     )
-    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    joined = components_of(distinct, radius)
-    named = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = materialize(named, "named-fingerprints")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return table.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return table.join(classes_of(table, radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(
     docs: DataFrame, words_each: int = SHINGLE_WORDS, radius: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row of each component with all its columns: the one with the least id, and of rows that
-    share it the one with the least fingerprint; of rows equal in both, any one."""
-    classes = near_duplicates(docs, words_each, radius, id_col, text_col)
-    chosen = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("one"))
-    chosen = chosen.select(F.col("one.doc_id").alias("chosen_id"), F.col("one.fp").alias("chosen_fp"))
-    return _only(docs, chosen, words_each, id_col, text_col)
+    share it the one with the least fingerprint; of rows equal in both, any one.
 
-
-def _only(docs: DataFrame, chosen: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
+    A row is known by two hashes of its id and text, so fingerprints are made once and texts move once: the
+    choice of rows and the removal of repeated ones use the same partitioning.
+    """
+    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    hashes = [F.xxhash64(F.lit(seed), key.isNull(), key, text.isNull(), text) for seed in (1, 2)]
+    table = materialize(
+        docs.select(key.alias("doc_id"), hashes[0].alias("h1"), hashes[1].alias("h2"), fingerprint_of(text, words_each).alias("fp")), "fingerprints"
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "h1", "h2")).alias("one")
+    chosen = table.join(classes_of(table, radius), "fp").groupBy("component_id").agg(first)
+    chosen = materialize(chosen.select(F.col("one.h1").alias("h1"), F.col("one.h2").alias("h2")), "chosen-rows")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*names)  # no column can clash with those added here
-    key = F.col(names[docs.columns.index(id_col)]).cast("long")
-    text = F.col(names[docs.columns.index(text_col)])
-    marked = renamed.withColumn("row_fp", fingerprint_of(text, words_each)).withColumn("row_key", key)
-    # Null-safe for both: a plain equality makes Spark ask for fingerprints that are not null, which computes each twice.
-    met = marked.join(chosen, marked.row_key.eqNullSafe(chosen.chosen_id) & marked.row_fp.eqNullSafe(chosen.chosen_fp), "left_semi")
-    return met.dropDuplicates(["row_key", "row_fp"]).select(*names).toDF(*docs.columns)
+    marked = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], hashes[0].alias("h1"), hashes[1].alias("h2"))
+    met = marked.join(chosen, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return met.select(*names).toDF(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a score from its hashed words and word beginnings;
-the document's score is the noisy-or of its sentences, ``1 - prod(1 - p)``. Only documents have labels:
+the document's score is the noisy-or of its sentences, ``1 - prod(1 - p)``. Harmless sentences must not add up, however
+many there are: of those with a faint score only the strongest counts, and a text's number of sentences enters through
+a prior that saturates. Only documents have labels:
 the slope of the log-loss flows through the noisy-or to the sentences, so that the fitted model also says
 which sentences offend. Fitted on a bounded sample of labelled rows; its size is fixed.
 """
@@ -26,8 +28,13 @@ SAMPLE_ROWS = 6000
 EPOCHS = 30
 BATCH = 64
 RATE = 1.0
+#: Labelled texts of more characters are not in the sample, which bounds what reaches the driver.
+SAMPLE_CHARS = 50_000
 #: Features whose share of toxic and of clean documents differs by fewer standard errors are left out.
 TELLING = 4.0
+#: Sentences below this score are faint; ``MOST_PRIOR * n / (n + HALF_PRIOR)`` is the prior of a text of n sentences.
+FAINT = 0.02
+MOST_PRIOR, HALF_PRIOR = 0.01, 50
 STARTS = (4, 5)
 OFFENDS_AT = 0.3
 WORD_CACHE = 100_000
@@ -79,8 +86,17 @@ class SentenceModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def document_score(p: np.ndarray) -> float:
+    """Score of a document from those of its sentences; zero without sentences."""
+    if not len(p):
+        return 0.0
+    faint = p[p < FAINT].max(initial=0.0)
+    prior = MOST_PRIOR * len(p) / (len(p) + HALF_PRIOR)
+    return noisy_or(np.concatenate([p[p >= FAINT], [faint, prior]]))
+
+
 def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.clip(p, 0, 1 - 1e-12)).sum()))
+    return float(0.0 - np.expm1(np.log1p(-np.clip(p, 0, 1 - 1e-12)).sum()))
 
 
 def _telling(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -146,7 +162,7 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> SentenceModel:
-    """Fit on at most ``sample_rows`` documents whose label row satisfies ``allowed``."""
+    """Fit on at most ``sample_rows`` documents, of ``SAMPLE_CHARS`` characters at most, whose label row satisfies ``allowed``."""
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +176,7 @@ def fit_toxicity(
 
     rows = training_rows(
         docs, labelled_sample(labels, label_col, allowed, sample_rows), extract, "sample_id long, label int, i binary, s binary",
-        id_col, F.col(text_col).cast("string").alias("text"),
+        id_col, SAMPLE_CHARS, F.col(text_col).cast("string").alias("text"),
     )
     return fit_sentences([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int64), r[1]) for r in rows])
 
@@ -180,7 +196,7 @@ def toxicity(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text
                 index, starts, spans = bag(text.as_py())
                 p = shared.value.sentences(index, starts)
                 worst = spans[int(p.argmax())] if len(p) else (None, None)
-                rows.append((noisy_or(p), int((p >= OFFENDS_AT).sum()), *worst))
+                rows.append((document_score(p), int((p >= OFFENDS_AT).sum()), *worst))
             if rows:
                 types = (pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
