@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from triagekit import errors
 from triagekit.constants import STOP_WORDS
-from triagekit.operators import bayes, embed, evaluate, logistic, routing
+from triagekit.operators import bayes, embed, evaluate, logistic, routing, softmax
 from triagekit.plans.study import Study, grid_specs, with_top
 from triagekit.streaming import classify as streaming
 
@@ -187,3 +187,48 @@ def test_embedding_head(spark, small):
     assert rows.select(F.size("embedding")).distinct().collect()[0][0] == 6
     preds = with_top(embed.embedding_oof(rows.where("split = 'dev'"), 5))
     assert evaluate.macro_f1(preds).first().macro_f1 > 0.55
+
+
+def test_table_of_weights_has_the_same_optimum(spark, small, monkeypatch):
+    """Against Spark ML run to its own end, on the same folds; the proof holds, and fails away from the optimum."""
+    monkeypatch.setattr(logistic, "LR_TOLERANCE", 1e-13)
+    st = Study(small)
+    rows = st.cv_rows(st.features)
+    model = softmax.fit_softmax(rows, [softmax.SoftmaxSpec(C=1.0, min_df=2)], 5)
+    assert max(model.max_slope) <= 1e-6 and model.passes < 100
+    proof = softmax.slopes(model, rows).collect()
+    assert sorted(r.part for r in proof) == list(range(5)) and all(r.max_slope < 1e-5 for r in proof)
+    got = {r.source_id: {x.category: x.probability for x in r.ranked} for r in softmax.score_softmax(model, rows, "source_id").collect()}
+    want = probabilities(logistic.logistic_oof(st.texts("dev"), 5, C=1.0, min_df=2))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-4) for i in want)
+    moved = softmax.SoftmaxModel(model.weights, model.plain, model.bias + np.array([0.1, 0, 0]), model.fits, model.freq, [], 0)
+    assert all(r.max_slope > 1e-3 for r in softmax.slopes(moved, rows).collect())
+
+
+def test_wide_vocabulary_needs_no_driver(spark, small, conf):
+    conf("spark.triagekit.driverVocabulary", 10)
+    st = Study(small)
+    assert st.wide_vocabulary
+    assert {r.model for r in st.candidate_summary.collect()} == {"baseline_most_frequent", "naive_bayes", "logistic_regression"}
+    st.__dict__["chosen"] = "logistic_regression"
+    assert st.chosen_holdout.count() == st.texts("holdout").count()
+    answers = routing.classify(requests(spark), st.chosen_scorer()).collect()
+    assert len(answers) == 6 and sum(r.reject_reason is not None for r in answers) == 3
+
+
+def test_direction_is_the_two_loop_recursion():
+    rng = np.random.default_rng(5)
+    m, n = softmax.HISTORY, 30
+    basis = rng.normal(size=(2 * m + 1, n))
+    hessian = np.diag(rng.uniform(0.5, 3, n))
+    basis[m : 2 * m] = basis[:m] @ hessian
+    basis[:2] = basis[m : m + 2] = 0  # pairs that are not there yet
+    s, y, g = basis[:m], basis[m : 2 * m], basis[-1]
+    q, alpha = g.copy(), {}
+    for i in reversed(range(2, m)):
+        alpha[i] = s[i] @ q / (s[i] @ y[i])
+        q -= alpha[i] * y[i]
+    q *= s[-1] @ y[-1] / (y[-1] @ y[-1])
+    for i in range(2, m):
+        q += s[i] * (alpha[i] - y[i] @ q / (s[i] @ y[i]))
+    assert softmax.direction(basis @ basis.T) @ basis == pytest.approx(-q)

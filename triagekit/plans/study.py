@@ -13,16 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagekit.constants import (
-    CHALLENGER_MODEL, DEFAULT_MODEL, GRID_ALPHA, GRID_MIN_DF, GRID_NGRAM, HOLDOUT_SHARE, N_FOLDS, SEED, STOP_WORDS,
+    CHALLENGER_MODEL, DEFAULT_MODEL, GRID_ALPHA, GRID_MIN_DF, GRID_NGRAM, HOLDOUT_SHARE, LR_NGRAM,
+    MAX_VOCABULARY_ON_DRIVER, N_FOLDS, SEED, STOP_WORDS,
 )
-from triagekit.operators import logistic
+from triagekit.operators import logistic, softmax
 from triagekit.operators.baseline import predict_majority
 from triagekit.operators.bayes import BayesModel, BayesSpec, fit_bayes, score_bayes
 from triagekit.operators.clean import clean_labelled
 from triagekit.operators.evaluate import cv_summary, macro_f1, select_model
 from triagekit.operators.ranking import confidence, top_label
 from triagekit.operators.split import assign_split, split_cuts
-from triagekit.operators.vectorize import add_terms
+from triagekit.operators.vectorize import add_terms, term_rows
+from triagekit.session import setting
 from triagekit.sources.store import materialize
 
 
@@ -146,9 +148,25 @@ class Study:
         rows = self.split(self.docs).where(F.col("split") == split)
         return rows.select("doc_id", "ticket_text", "category", "fold")
 
+    @cached_property
+    def wide_vocabulary(self) -> bool:
+        """Whether logistic regression has more terms than a driver may hold; its weights are then a table."""
+        terms = term_rows(self.counted).where(F.lit(LR_NGRAM > 1) | (F.instr("term", " ") == 0)).select("term").distinct()
+        return terms.count() > setting(self.docs.sparkSession, "driverVocabulary", MAX_VOCABULARY_ON_DRIVER)
+
+    @cached_property
+    def softmax_cv(self) -> softmax.SoftmaxModel:
+        """Logistic regression of every fold, with its weights as a table."""
+        return softmax.fit_softmax(self.cv_rows(self.features), parts=self.folds)
+
     @cached_property
     def logistic_oof(self) -> DataFrame:
         """The same as ``oof``, by logistic regression."""
+        if self.wide_vocabulary:
+            rows = self.cv_rows(self.features)
+            preds = with_top(softmax.score_softmax(self.softmax_cv, rows, "category", "source_id"))
+            named = preds.withColumn("doc_id", F.col("source_id")).withColumnRenamed("part", "fold")
+            return materialize(named.select(*self.oof.columns), "logistic-study-oof")
         preds = with_top(logistic.logistic_oof(self.texts("dev"), self.folds, stop_words=self.stop_words))
         return materialize(preds.select(*self.oof.columns), "logistic-study-oof")
 
@@ -171,17 +189,36 @@ class Study:
     def final_logistic(self) -> PipelineModel:
         return logistic.fit_logistic(self.texts("dev"), stop_words=self.stop_words)
 
+    @cached_property
+    def final_softmax(self) -> softmax.SoftmaxModel:
+        return softmax.fit_softmax(self.holdout_rows(self.features))
+
     @cached_property
     def chosen_holdout(self) -> DataFrame:
         """The holdout by the chosen model, fitted on all development rows."""
         if self.chosen != CHALLENGER_MODEL:
             return self.holdout_predictions
+        if self.wide_vocabulary:
+            rows = self.holdout_rows(self.features).where("part = 0")
+            preds = with_top(softmax.score_softmax(self.final_softmax, rows, "category", "source_id")).withColumn("doc_id", F.col("source_id"))
+            return materialize(preds.select("doc_id", "category", "predicted_label", "confidence", "ranked"), "logistic-holdout")
         preds = with_top(logistic.score_logistic(self.final_logistic, self.texts("holdout"), "doc_id", "category"))
         return materialize(preds.select("doc_id", "category", "predicted_label", "confidence", "ranked"), "logistic-holdout")
 
     def chosen_scorer(self):
+        if self.chosen == CHALLENGER_MODEL and self.wide_vocabulary:
+            return self.softmax_scorer()
         return logistic.logistic_scorer(self.final_logistic) if self.chosen == CHALLENGER_MODEL else self.scorer()
 
+    def softmax_scorer(self):
+        """As ``scorer``, by logistic regression with its weights as a table."""
+
+        def score(df: DataFrame, *keep: str) -> DataFrame:
+            rows = self.terms(df.withColumn("part", F.lit(0)), self.final_softmax.fits.specs[0].ngram_max)
+            return softmax.score_softmax(self.final_softmax, rows, "reject_reason", *keep)
+
+        return score
+
     def scorer(self, model: BayesModel | None = None):
         """A function that adds ``ranked`` to ``(doc_id, ticket_text, reject_reason)``."""
         model = model or self.final_model
