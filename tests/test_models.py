@@ -189,12 +189,13 @@ def test_embedding_head(spark, small):
     assert evaluate.macro_f1(preds).first().macro_f1 > 0.55
 
 
+@pytest.mark.slow
 def test_table_of_weights_has_the_same_optimum(spark, small, monkeypatch):
     """Against Spark ML run to its own end, on the same folds; the proof holds, and fails away from the optimum."""
     monkeypatch.setattr(logistic, "LR_TOLERANCE", 1e-13)
     st = Study(small)
     rows = st.cv_rows(st.features)
-    model = softmax.fit_softmax(rows, [softmax.SoftmaxSpec(C=1.0, min_df=2)], 5)
+    model = softmax.fit_softmax(rows, [softmax.SoftmaxSpec(C=1.0, min_df=2)], 5, tolerance=1e-6)
     assert max(model.max_slope) <= 1e-6 and model.passes < 100
     proof = softmax.slopes(model, rows).collect()
     assert sorted(r.part for r in proof) == list(range(5)) and all(r.max_slope < 1e-5 for r in proof)
@@ -205,6 +206,7 @@ def test_table_of_weights_has_the_same_optimum(spark, small, monkeypatch):
     assert all(r.max_slope > 1e-3 for r in softmax.slopes(moved, rows).collect())
 
 
+@pytest.mark.slow
 def test_wide_vocabulary_needs_no_driver(spark, small, conf):
     conf("spark.triagekit.driverVocabulary", 10)
     st = Study(small)

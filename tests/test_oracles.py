@@ -6,7 +6,7 @@ import __spark_entry__ as contract
 from tests.compare import connect, difference
 
 ORACLES = contract.oracle_sql()
-SLOW = {"nb_grid"}
+SLOW = {"nb_grid", "lr_certificate", "embedding_certificate"}
 
 
 @pytest.fixture(scope="module")

@@ -496,7 +496,7 @@ def lr_oof(spark, sf_dir):
 
 
 #: No slope of an optimum may exceed this.
-OPTIMAL_SLOPE = 1e-5
+OPTIMAL_SLOPE = 2e-5
 
 
 def optimal_rows(model: softmax.SoftmaxModel, rows) -> DataFrame:

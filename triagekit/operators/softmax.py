@@ -34,7 +34,7 @@ from triagekit.sources.store import materialize, new_path
 #: Steps that the optimiser remembers, and where its arrays lie in a row: weights, slope, the same at the trial point.
 HISTORY = 8
 W, G, TRIAL_W, TRIAL_G, STEPS = 0, 1, 2, 3, 4
-SLOPE_TOLERANCE = 1e-6
+SLOPE_TOLERANCE = 1e-5
 LEAST_GAIN = 1e-4
 #: Rows of the weight table that are no terms: intercepts, and losses of the pass.
 INTERCEPT, LOSS = "", "\n"
@@ -110,6 +110,8 @@ def vector_terms(embedding: str = "embedding") -> Column:
 
 def _documents(features: DataFrame, fits: Fits, freq: DocFrequency, *keep: str) -> DataFrame:
     """Rows with class number, vector lengths by slot, and terms; written once."""
+    if max(s.ngram_max for s in fits.specs) == 1:
+        features = features.withColumn("terms", F.filter("terms", lambda t: F.instr(t["term"], " ") == 0))
     y = (F.coalesce(F.array_position(F.lit(fits.labels), F.col("category")), F.lit(0)) - 1).cast("int").alias("y")
     if fits.specs[0].raw:
         n = len(freq.n_train) * len(fits.rules)
@@ -127,6 +129,7 @@ def _vocabulary(freq: DocFrequency, fits: Fits) -> DataFrame:
     factor = [F.when(rule.allows(train_df(p)), F.lit(1.0) if raw else train_idf(p, freq.n_train)) for p, rule in pairs]
     terms = freq.table.df.select("term", F.array(*[F.coalesce(f, F.lit(0.0)) for f in factor]).alias("idf"))
     ones = lambda x: F.array_repeat(F.lit(x), len(pairs)).alias("idf")
+    terms = terms.where(F.exists("idf", lambda x: x > 0))
     spark = terms.sparkSession
     extra = [spark.range(1).select(F.lit(t).alias("term"), ones(x)) for t, x in ((INTERCEPT, 1.0), (LOSS, 0.0))]
     return terms.unionByName(extra[0]).unionByName(extra[1])
