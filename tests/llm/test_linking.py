@@ -1,8 +1,12 @@
 """Quotation linking and licence lookup."""
 
+import random
+import re
 import textwrap
+import time
 from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tests.compare import connect, difference
@@ -128,3 +132,70 @@ def test_plans_run_no_python(spark, sf):
     for name in ("op3_quotation_linking", "op7_licences"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow")), plan
+
+
+def plain_passages(text):
+    """Levels and bodies of passages, line by line."""
+    out, before = [], (-1, "")
+    for raw in (text or "").split("\n"):
+        lead = re.match(r"[\s>]*", raw, re.ASCII).group()
+        line = (lead.count(">"), " ".join(re.split(r"[ \t\n\x0b\f\r]+", raw[len(lead):].lower())).strip(" "))
+        if line[1] and before[1] and line[0] == before[0]:
+            out[-1] = (line[0], f"{out[-1][1]} {line[1]}")
+        elif line[1]:
+            out.append(line)
+        before = line
+    return out
+
+
+def test_passages_as_line_by_line(spark):
+    pick = random.Random(5)
+    texts = ["\n".join(pick.choice(["", " ", "> ", ">", ">>", " > > ", "\t"]) + pick.choice(["", "", "a", "B  c", "d > e", "\r"]) for _ in range(pick.randrange(30))) for _ in range(300)]
+    texts += [None, "", "\n", ">", "a", "> a\n> b\nc\n\nd\n>> e\n> f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", quotes._passages(F.col("text")).alias("p"))
+    assert {r.i: [tuple(x) for x in r.p] for r in df.collect()} == {i: plain_passages(t) for i, t in enumerate(texts)}
+
+
+def test_very_long_messages(spark):
+    """A pasted log of 100,000 paragraphs, one paragraph of 100,000 lines, one line of 100,000 markers, many blank lines."""
+    n = 100_000
+    log, block = "\n\n".join(f"entry {i}" for i in range(n)), "\n".join(f"part {i}" for i in range(n))
+    mark = lambda t: "\n".join(f"> {x}" for x in t.split("\n"))
+    rows = [(1, 0, log), (1, 1, mark(log)), (2, 0, block), (2, 1, mark(block) + "\n\nyes"), (3, 0, ">" * n + " deep"), (4, 0, "a" + "\n" * n + " " * n + "b")]
+    start = time.monotonic()
+    got = {(r.conv_id, r.turn): r for r in linked(spark, rows).collect()}
+    assert time.monotonic() - start < 60
+    assert [(r.n_quoted, r.n_linked, r.depth) for _, r in sorted(got.items())] == [(0, 0, 0), (n, n, 1), (0, 0, 0), (1, 1, 1), (1, 0, 0), (0, 0, 0)]
+    assert got[2, 1].own_text == "yes" and got[1, 1].own_text == "" and len(got[4, 0].own_text) == 2 * n + 2
+
+
+def test_edges(spark, edge, none):
+    mail = lambda df: quotes.reply_conversations(df.withColumn("found", F.lit(1)), "doc_id", "n_chars", "text")
+    got = mail(edge)
+    assert got.count() == edge.count() and got.where("own_text is null or depth is null or thread_conv is null and conv_id is not null").count() == 0
+    assert mail(none).count() == 0 and mail(none).columns == got.columns
+
+
+def test_hot_keys(spark):
+    """A passage that all quote, a message that all answer and a name that a third of the rows share."""
+    rows = [(0, 0, "Hello all."), *[(i, 1, "> hello all.\n\nanswer") for i in range(1, 4000)], *[(0, 1, "> Hello all.") for _ in range(2000)], *[(None, None, "nobody") for _ in range(2000)]]
+    got = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(7)
+    counts = quotes.reply_conversations(got).groupBy("parent_conv", "thread_conv", "depth", "n_linked").count().collect()
+    assert multiset(counts) == multiset([(None, 0, 0, 0, 1), (0, 0, 1, 1, 3999), (0, 0, 1, 2000, 2000), (None, None, 0, 0, 2000)])
+
+
+def test_nobody_links_to_messages_without_a_name(spark):
+    rows = [(None, 0, "shared words"), (1, None, "shared words"), (2, 0, "shared words"), (3, 0, "> shared words")]
+    got = {r.conv_id: r for r in linked(spark, rows).collect()}
+    assert (got[3].parent_conv, got[3].parent_turn, got[3].depth) == (2, 0, 1)
+
+
+def test_repeated_turns_as_sql(spark, sf, tmp_path):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    some = turns.where("conv_id % 3 = 0")
+    turns.unionByName(some).unionByName(some.withColumn("text", F.concat(F.lit("other "), "text"))).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op3_quotation_linking(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got.count() == turns.count() + 2 * some.count()
+    assert difference(got, con, oracles.QUOTES) is None

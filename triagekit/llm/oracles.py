@@ -31,15 +31,18 @@ SELECT doc_id, digest, licence, notices FROM w LEFT JOIN known USING (digest) LE
 #: Each turn quotes the two before it, so quotes need not be parsed: they are the passages of those turns.
 QUOTES = r"""WITH RECURSIVE m AS (SELECT conv_id, turn, text, list_filter(list_transform(
 regexp_split_to_array(coalesce(text, ''), '\n(\s*\n)+'), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS ps FROM conversations),
+one AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS LAST) = 1),
 near AS (SELECT conv_id, p, min(turn) AS first_turn FROM (SELECT conv_id, turn, unnest(ps) AS p FROM m) GROUP BY conv_id, p),
 q AS (SELECT a.conv_id, a.turn, a.text, coalesce(len(b.ps), 0) + coalesce(len(c.ps), 0) AS n_quoted, n.first_turn AS parent_turn
-FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN m c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2
+FROM m a LEFT JOIN one b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN one c ON c.conv_id = a.conv_id AND c.turn = a.turn - 2
 LEFT JOIN near n ON n.conv_id = a.conv_id AND n.p = b.ps[1]),
-t AS (SELECT conv_id, turn, turn AS thread_turn, 0::BIGINT AS depth FROM q WHERE parent_turn IS NULL
-UNION ALL SELECT q.conv_id, q.turn, t.thread_turn, t.depth + 1 FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.parent_turn)
-SELECT q.conv_id, q.turn, CASE WHEN parent_turn IS NOT NULL THEN q.conv_id END AS parent_conv, parent_turn, q.conv_id AS thread_conv, thread_turn,
-depth, n_quoted, n_quoted AS n_linked, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS own_md5
-FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.turn"""
+names AS (SELECT DISTINCT conv_id, turn, parent_turn FROM q),
+t AS (SELECT conv_id, turn, turn AS thread_turn, 0::BIGINT AS depth FROM names WHERE parent_turn IS NULL
+UNION ALL SELECT q.conv_id, q.turn, t.thread_turn, t.depth + 1 FROM names q JOIN t ON t.conv_id = q.conv_id AND t.turn = q.parent_turn)
+SELECT conv_id, turn, CASE WHEN parent_turn IS NOT NULL THEN conv_id END AS parent_conv, parent_turn, conv_id AS thread_conv, thread_turn,
+depth, (sum(n_quoted) OVER (PARTITION BY conv_id, turn))::BIGINT AS n_quoted,
+(sum(n_quoted) OVER (PARTITION BY conv_id, turn))::BIGINT AS n_linked, md5(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS own_md5
+FROM q JOIN t USING (conv_id, turn)"""
 
 
 

@@ -36,13 +36,20 @@ def op2_quality_rules(spark, sf_dir):
 
 
 def as_mail(turns: DataFrame) -> DataFrame:
-    """Conversations as mail: each turn quotes the turn before it, with what that one quotes, above its text."""
+    """Conversations as mail: each turn quotes the turn before it, with what that one quotes, above its text.
+
+    Of turns that share a name, the least text is the one that others quote.
+    """
 
     def marked(text: str, marker: str) -> F.Column:
         return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit(marker), x)), "\n")
 
     texts = turns.select("conv_id", "turn", "text")
-    before = lambda n: texts.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"before_{n}"))
+
+    def before(n: int) -> DataFrame:
+        later = texts.select("conv_id", (F.col("turn") + n).alias("turn"), "text")
+        return later.groupBy("conv_id", "turn").agg(F.min("text").alias(f"before_{n}"))
+
     return (
         texts.join(before(1), ["conv_id", "turn"], "left")
         .join(before(2), ["conv_id", "turn"], "left")

@@ -8,8 +8,10 @@ of all conversations if that one comes before. A message replies to the origin o
 levels are quotes within quotes and link to their own origins. Conversations are followed up to their
 first message by pointer doubling.
 
-Built-in functions only. A passage that very many messages wrote is reduced to one origin per
-conversation, and to one in all, before any join, so links never multiply.
+Built-in functions only. A message is cut in time linear in its length, a pasted log of a hundred thousand
+lines included. A passage that very many messages wrote is reduced to one origin per conversation, and to one
+in all, before any join, so links never multiply; passages that very many quote, messages that very many
+answer, and names that very many rows share are joined in place.
 """
 
 from __future__ import annotations
@@ -18,9 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagekit.errors import LimitExceeded
+from triagekit.llm.skew import join_by_weight
+from triagekit.operators.ranking import let
 from triagekit.sources.store import materialize
 
-MARKERS = r"^\s*(>\s*)+"
+#: What stands before the text of a line: blanks and, in a quoted one, its markers.
+LEAD = r"^[\s>]*"
+QUOTED = r"^\s*>"
+BLANKS = " \t\n\x0b\f\r"
 #: A reply chain of ``2 ** MAX_ROUNDS`` messages is followed to its end; longer ones raise an error.
 MAX_ROUNDS = 40
 
@@ -31,55 +38,69 @@ def _lines(text: Column) -> Column:
     """``(level, body)`` of each line; the body is normalised, and empty for a blank line."""
 
     def line(raw: Column) -> Column:
-        marks = F.regexp_extract(raw, MARKERS, 0)
-        level = F.length(F.regexp_replace(marks, r"[^>]", ""))
-        body = F.trim(F.regexp_replace(F.lower(F.regexp_replace(raw, MARKERS, "")), r"\s+", " "))
+        level = F.length(F.regexp_replace(F.regexp_extract(raw, LEAD, 0), r"[^>]", ""))
+        body = F.trim(F.regexp_replace(F.lower(F.regexp_replace(raw, LEAD, "")), r"\s+", " "))
         return F.struct(level.alias("level"), body.alias("body"))
 
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
 
 
+def _first_lines(lines: Column) -> Column:
+    """The numbers, from 1, of the lines with which a passage begins."""
+    before = F.concat(F.array(F.struct(F.lit(-1).alias("level"), F.lit("").alias("body"))), lines)
+    begins = F.zip_with(
+        lines, before, lambda x, b: (x["body"] != "") & ((b["body"] == "") | (b["level"] != x["level"]))
+    )
+    return F.filter(F.transform(begins, lambda yes, i: F.when(yes, i + 1)), lambda i: i.isNotNull())
+
+
 def _passages(text: Column) -> Column:
-    """``(level, body)`` of each passage in order."""
-    start = F.expr("named_struct('done', cast(array() as array<struct<level:int,body:string>>), 'level', -1, 'body', '')")
-
-    def closed(acc: Column) -> Column:
-        open_one = F.array(F.struct(acc["level"].alias("level"), acc["body"].alias("body")))
-        return F.when(acc["body"] == "", acc["done"]).otherwise(F.concat(acc["done"], open_one))
-
-    def merge(acc: Column, line: Column) -> Column:
-        goes_on = (line["body"] != "") & (acc["body"] != "") & (line["level"] == acc["level"])
-        return F.struct(
-            F.when(goes_on, acc["done"]).otherwise(closed(acc)).alias("done"),
-            line["level"].alias("level"),
-            F.when(goes_on, F.concat(acc["body"], F.lit(" "), line["body"])).otherwise(line["body"]).alias("body"),
-        )
+    """``(level, body)`` of each passage in order: the lines from its first to the first of the next one."""
 
-    return F.aggregate(_lines(text), start, merge, closed)
+    def cut(lines: Column, first: Column) -> Column:
+        def passage(at: Column, following: Column) -> Column:
+            part = F.slice(lines, at, F.coalesce(following, F.size(lines) + 1) - at)
+            bodies = F.filter(F.transform(part, lambda x: x["body"]), lambda x: x != "")
+            return F.struct(F.get(lines, at - 1)["level"].alias("level"), F.array_join(bodies, " ").alias("body"))
+
+        return F.zip_with(first, F.slice(first, 2, F.size(first)), passage)
+
+    return let(_lines(text), lambda lines: let(_first_lines(lines), lambda first: cut(lines, first)))
 
 
 def unquoted(text: Column) -> Column:
     """The lines of a text that it does not quote, in its own spelling, without blank ones at both ends."""
-    own = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~x.rlike(MARKERS))
-    return F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")
+    own = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~x.rlike(QUOTED))
+    return F.btrim(F.array_join(own, "\n"), F.lit(BLANKS))
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """``(conv_id, turn, own_text, found)``; ``found`` has level and digest of every passage in order."""
+    digests = F.transform(_passages(F.col("text")), lambda p: F.struct(p["level"].alias("level"), F.md5(p["body"]).alias("digest")))
+    return messages.select(*MESSAGE, unquoted(F.col("text")).alias("own_text"), digests.alias("found"))
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, place, level, digest)`` for every passage; one of level 0 is the message's own."""
-    at = messages.select(*MESSAGE, F.posexplode(_passages(F.col("text"))).alias("place", "p"))
-    return at.select(*MESSAGE, "place", F.col("p.level").alias("level"), F.md5(F.col("p.body")).alias("digest"))
+    """``(conv_id, turn, place, level, digest)`` for every passage of ``parsed`` messages; one of level 0 is the
+    message's own."""
+    return messages.select(*MESSAGE, F.posexplode("found").alias("place", "p")).select(*MESSAGE, "place", "p.level", "p.digest")
 
 
 def quote_links(found: DataFrame) -> DataFrame:
     """Each quoted passage with the message that it comes from, or null: ``from_conv, from_turn``."""
     quoted = found.where(F.col("level") > 0)
-    own = found.where(F.col("level") == 0)
-    near = own.groupBy("conv_id", "digest").agg(F.min("turn").alias("near_turn"))
+    own = found.where((F.col("level") == 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    pair = ["conv_id", "digest"]
+    near = materialize(own.groupBy(*pair).agg(F.min("turn").alias("near_turn")), "passage-origins")
     first = near.groupBy("digest").agg(F.min(F.struct("conv_id", F.col("near_turn").alias("turn"))).alias("first"))
-    linked = quoted.join(near, ["conv_id", "digest"], "left").join(first, "digest", "left")
+    # One row per conversation and passage that it quotes, so no key of this join has more than one.
+    wanted = materialize(quoted.groupBy(*pair).agg(F.count("*").alias("n_here")).join(near, pair, "left"), "quoted-passages")
+    size = wanted.agg(F.count("*"), F.coalesce(F.sum("n_here"), F.lit(0))).first()
+    digests = wanted.groupBy("digest").agg(F.count("*").alias("n")).join(first, "digest", "left")
+    origins = materialize(join_by_weight(wanted, digests, ["digest"], size[0]), "passage-links")
     here = F.col("near_turn") < F.col("turn")
     elsewhere = F.col("first.conv_id") < F.col("conv_id")
-    return linked.select(
+    return join_by_weight(quoted, origins, pair, size[1], "n_here").select(
         *MESSAGE, "place", "level", "digest",
         F.when(here, F.col("conv_id")).when(elsewhere, F.col("first.conv_id")).alias("from_conv"),
         F.when(here, F.col("near_turn")).when(elsewhere, F.col("first.turn")).alias("from_turn"),
@@ -99,20 +120,20 @@ def threads(parents: DataFrame) -> DataFrame:
         ),
         "reply-pointers",
     )
+    target = ["thread_conv", "thread_turn"]
     for _ in range(MAX_ROUNDS):
-        if pointers.where(~F.col("done")).isEmpty():
+        moving = pointers.where(~F.col("done"))
+        total = moving.count()
+        if not total:
             return pointers.drop("done")
         above = pointers.select(
             F.col("conv_id").alias("thread_conv"), F.col("turn").alias("thread_turn"), F.col("thread_conv").alias("up_conv"),
             F.col("thread_turn").alias("up_turn"), F.col("depth").alias("up_depth"), F.col("done").alias("up_done"),
         )
-        moved = (
-            pointers.where(~F.col("done"))
-            .join(above, ["thread_conv", "thread_turn"], "left")
-            .select(
-                *MESSAGE, F.coalesce("up_conv", "thread_conv").alias("thread_conv"), F.coalesce("up_turn", "thread_turn").alias("thread_turn"),
-                (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), F.coalesce("up_done", F.lit(True)).alias("done"),
-            )
+        targets = moving.groupBy(*target).agg(F.count("*").alias("n")).join(above, target, "left")
+        moved = join_by_weight(moving, targets, target, total).select(
+            *MESSAGE, F.coalesce("up_conv", "thread_conv").alias("thread_conv"), F.coalesce("up_turn", "thread_turn").alias("thread_turn"),
+            (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), F.coalesce("up_done", F.lit(True)).alias("done"),
         )
         pointers = materialize(pointers.where("done").unionByName(moved), "reply-pointers")
     raise LimitExceeded(f"a reply chain is longer than 2^{MAX_ROUNDS} messages")
@@ -127,33 +148,34 @@ def reply_conversations(
     Ordered by ``thread_conv, thread_turn, depth, conv_id, turn``, every message follows the one that it
     replies to. A message is named by ``(conv_id, turn)``; rows that share a name are taken for one
     message when links are followed, and each is returned. Messages without conversation or turn link to
-    nothing and start their own thread. A null text is empty. An empty table gives no rows. Other columns
-    are ignored.
+    nothing in their conversation and no quote links to them. A null text is empty. Texts may be of any length. An empty table gives
+    no rows. Other columns are ignored.
     """
     source = messages.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text")
     )
-    links = materialize(quote_links(passages(source)), "quote-links")
+    rows = materialize(parsed(source), "parsed-messages")
+    links = materialize(quote_links(passages(rows)), "quote-links")
     at = F.struct("place", "from_conv", "from_turn")
     summary = links.groupBy(*MESSAGE).agg(
         F.min(F.when((F.col("level") == 1) & F.col("from_conv").isNotNull(), at)).alias("parent"),
         F.count(F.lit(1)).alias("n_quoted"),
         F.count("from_conv").alias("n_linked"),
     )
-    names = source.select(*MESSAGE).distinct()
+    names = rows.groupBy(*MESSAGE).agg(F.count("*").alias("n"))
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}")) for c in MESSAGE]
     parents = materialize(
         names.alias("n").join(summary.alias("s"), same, "left").select(
             *[f"n.{c}" for c in MESSAGE], F.col("s.parent.from_conv").alias("from_conv"), F.col("s.parent.from_turn").alias("from_turn"),
-            F.coalesce("s.n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("s.n_linked", F.lit(0)).alias("n_linked"),
+            F.coalesce("s.n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("s.n_linked", F.lit(0)).alias("n_linked"), "n.n",
         ),
         "reply-parents",
     )
     thread = threads(parents)
     named = parents.alias("n").join(thread.alias("s"), same).select(
-        "n.*", "s.thread_conv", "s.thread_turn", "s.depth"
+        *[f"n.{c}" for c in MESSAGE], F.col("n.from_conv").alias("parent_conv"), F.col("n.from_turn").alias("parent_turn"),
+        "s.thread_conv", "s.thread_turn", "s.depth", "n.n_quoted", "n.n_linked", "n.n",
     )
-    return source.alias("n").join(named.alias("s"), same).select(
-        *[f"n.{c}" for c in MESSAGE], F.col("s.from_conv").alias("parent_conv"), F.col("s.from_turn").alias("parent_turn"),
-        "s.thread_conv", "s.thread_turn", "s.depth", "s.n_quoted", "s.n_linked", unquoted(F.col("n.text")).alias("own_text"),
+    return join_by_weight(rows.drop("found"), named, MESSAGE, rows.count()).select(
+        *MESSAGE, "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "n_quoted", "n_linked", "own_text"
     )
