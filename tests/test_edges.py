@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from triagekit.functions.text import percent
 from triagekit.operators import profile, routing, split, thresholds
+from triagekit.operators.bayes import save_bayes
 from triagekit.operators.clean import check_requests
+from triagekit.plans import compare
 from triagekit.plans.study import Study
 from triagekit.sources.labelled import parse_requests
 from triagekit.sources.store import load_or_build
@@ -84,6 +86,39 @@ def test_study_keeps_rows_with_repeated_and_null_ids(small):
     assert study.features.groupBy("row_key").count().where("count > 1").count() == 0
 
 
+def test_worst_errors_of_repeated_ids(spark, small):
+    """All rows share one id or have none: each error is one row with its own text, for each candidate."""
+    study = Study(small.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).cast("long")))
+    for oof in (study.oof, study.logistic_oof):
+        wrong = oof.where("category <> predicted_label").join(study.counted.select("row_key", "ticket_text"), "row_key").collect()
+        assert wrong and len(wrong) < 30 and oof.count() == oof.select("row_key").distinct().count()
+        key = lambda r: (r.doc_id, r.ticket_text, r.predicted_label, r.confidence)
+        got = study.worst_errors(oof).collect()
+        assert sorted(map(repr, map(key, got))) == sorted(map(repr, map(key, wrong)))
+        assert [r.confidence for r in got] == sorted((r.confidence for r in got), reverse=True)
+
+
+def test_requests_keep_their_numbers(spark, small):
+    """The numbers of rows are read from a written table, so no second run of the input can change them."""
+    asked = small.select(F.lit(1).cast("long").alias("doc_id"), F.col("ticket_text").alias("text")).repartition(5)
+    plan = routing.classify(asked, Study(small).scorer())._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" not in plan and "requests-" in "".join(routing.classify(asked, Study(small).scorer()).inputFiles())
+
+
+def test_measures_of_a_model(spark, small, tmp_path):
+    study = Study(small)
+    save_bayes(study.final_model, str(tmp_path / "nb"))
+    scored = study.scorer()(small.withColumn("reject_reason", F.lit(None).cast("string")))
+    base = compare.measures("nb", spark, str(tmp_path / "nb"), scored)
+    got = {r.metric: r.value for r in base.collect()}
+    files = [p for p in (tmp_path / "nb").rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]
+    assert got["nb_size_mb"] == pytest.approx(sum(p.stat().st_size for p in files) / 2**20) and got["nb_rows_per_second"] > 0
+    assert compare.rows_per_second(scored.where("false")) is None
+    both = compare.compare(base, compare.measured(spark, {"lr_size_mb": 2 * got["nb_size_mb"], "lr_rows_per_second": None}))
+    gains = {r.metric: r.value for r in compare.gains(both, "lr", "nb", ("size_mb", "rows_per_second")).collect()}
+    assert gains["lr_size_mb_ratio"] == pytest.approx(2.0) and gains["lr_rows_per_second_ratio"] is None
+
+
 def test_chosen_model_drives_what_follows(small):
     study = Study(small)
     assert {r.model for r in study.candidate_summary.collect()} == {"baseline_most_frequent", "naive_bayes", "logistic_regression"}

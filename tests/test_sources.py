@@ -80,6 +80,17 @@ def test_stored_size(spark, tmp_path):
         store.stored_megabytes(spark, str(tmp_path / "none"))
 
 
+def test_linked_files_count_once(spark, tmp_path):
+    """A store of files under their digests, with names that link to them."""
+    blobs, names = tmp_path / "s p" / "blobs", tmp_path / "s p" / "names"
+    blobs.mkdir(parents=True), names.mkdir()
+    for name in ("a", "b"):
+        (blobs / name).write_bytes(b"x" * 1024 * 1024)
+        (names / f"{name}.bin").symlink_to(blobs / name)
+    assert store.stored_megabytes(spark, str(tmp_path / "s p")) == 2.0
+    assert store.stored_megabytes(spark, str(names)) == 2.0
+
+
 def test_intermediate_tables_go_to_the_folder_of_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     path = store.new_path(spark, "x")

@@ -267,7 +267,7 @@ def confused_pairs(spark, sf_dir):
 
 def worst_errors(spark, sf_dir):
     st = study(spark, sf_dir, "t_role")
-    return evaluate.worst_errors(st.oof, st.docs).withColumn("confidence", r6("confidence"))
+    return st.worst_errors(st.oof).withColumn("confidence", r6("confidence"))
 
 
 def threshold_sweep(spark, sf_dir):
@@ -375,6 +375,37 @@ def chosen_model(spark, sf_dir):
     return both.select(F.lit(st.chosen).alias("chosen"), "threshold", "holdout_rows", r6("holdout_f1"))
 
 
+def chosen_confusion(spark, sf_dir):
+    """Counts of every pair of labels that the selected candidate gives out of fold."""
+    return evaluate.confusion_long(study(spark, sf_dir, "t_role").chosen_oof)
+
+
+def chosen_worst_errors(spark, sf_dir):
+    """The most confident errors of the selected candidate, with their texts."""
+    st = study(spark, sf_dir, "t_role")
+    return st.worst_errors(st.chosen_oof).withColumn("confidence", r6("confidence"))
+
+
+def chosen_sweep_display(spark, sf_dir):
+    """Every tenth threshold of the selected candidate."""
+    sweep = thresholds.threshold_sweep(study(spark, sf_dir, "t_role").chosen_oof)
+    return thresholds.display_rows(sweep).select("threshold", "accepted", r6("coverage"), r6("precision"))
+
+
+def quality_gate_all(spark, sf_dir):
+    """The floor that every candidate has to pass, logistic regression included."""
+    return evaluate.quality_gate(study(spark, sf_dir, "t_role").candidate_summary).withColumn("value", r6("value"))
+
+
+def errors_by_conversation(spark, sf_dir):
+    """Ids that repeat: the worst errors are single turns, each with its own text."""
+    turns = views.table(spark, sf_dir, "conversations", "conv_id").select(
+        F.col("conv_id").alias("doc_id"), F.col("text").alias("ticket_text"), F.col("role").alias("category")
+    )
+    st = Study(turns)
+    return st.worst_errors(st.oof).select("doc_id", F.md5("ticket_text").alias("text_md5"), "true_label", "predicted_label", r6("confidence"))
+
+
 def oof_by_conversation(spark, sf_dir):
     """Ids that repeat: all turns of a conversation have one, and the first conversations have none."""
     turns = views.table(spark, sf_dir, "conversations", "conv_id").select(
@@ -572,12 +603,13 @@ def encode_batch(spark, sf_dir):
 
 
 def approach_compare(spark, sf_dir):
-    """Naive Bayes, logistic regression and encoder + head on the same split and folds."""
+    """Naive Bayes, logistic regression and encoder + head on the same split and folds: scores, sizes of the
+    stored models, rows per second, and how logistic regression and the head compare with naive Bayes."""
     st = study(spark, sf_dir, "t_role")
     nb = compare.approach_metrics(
         "naive_bayes", st.summary.where("model = 'naive_bayes'"), evaluate.macro_f1(st.holdout_predictions)
     )
-    texts = st.split(st.docs).drop("split_key")
+    texts = st.split(st.counted).select("doc_id", "ticket_text", "category", "split", "fold")
     dev, held = texts.where("split = 'dev'"), texts.where("split = 'holdout'")
     cv = lambda preds: evaluate.cv_summary(evaluate.macro_f1(with_top(preds), "fold"))
     model = logistic.fit_logistic(dev)
@@ -594,8 +626,21 @@ def approach_compare(spark, sf_dir):
         cv(embed.embedding_oof(dev_v, N_FOLDS)),
         evaluate.macro_f1(with_top(embed.score_embeddings(head, labels, held_v, "category"))),
     )
-    metrics = materialize(compare.compare(nb, lr, emb), "approach-metrics")
-    return metrics.unionByName(compare.gains(metrics, "logistic_regression", "naive_bayes", ("cv_f1_mean", "holdout_f1")))
+    paths = {name: new_path(spark, f"{name}-model") for name in ("naive_bayes", "logistic_regression", "embedding")}
+    save_bayes(st.final_model, paths["naive_bayes"])
+    logistic.save_pipeline(model, paths["logistic_regression"])
+    head.write().overwrite().save(paths["embedding"])
+    held_rows = st.holdout_rows(st.features).where("part = 0")
+    vectors_again = embed.encode_texts(held, letter_encoder())
+    scored = {
+        "naive_bayes": score_bayes(load_bayes(spark, paths["naive_bayes"]), held_rows),
+        "logistic_regression": logistic.score_logistic(logistic.load_pipeline(spark, paths["logistic_regression"]), held),
+        "embedding": embed.score_embeddings(head, labels, vectors_again),
+    }
+    found = [compare.measures(name, spark, paths[name], df) for name, df in scored.items()]
+    metrics = materialize(compare.compare(nb, lr, emb, *found), "approach-metrics")
+    suffixes = ("cv_f1_mean", "holdout_f1", "size_mb", "rows_per_second")
+    return compare.compare(metrics, *[compare.gains(metrics, name, "naive_bayes", suffixes) for name in ("logistic_regression", "embedding")])
 
 
 QUERIES: dict[str, Query] = {
@@ -643,6 +688,11 @@ QUERIES: dict[str, Query] = {
     "tuning_report_both": tuning_report_both,
     "candidate_cv": candidate_cv,
     "chosen_model": chosen_model,
+    "chosen_confusion": chosen_confusion,
+    "chosen_worst_errors": chosen_worst_errors,
+    "chosen_sweep_display": chosen_sweep_display,
+    "quality_gate_all": quality_gate_all,
+    "errors_by_conversation": errors_by_conversation,
     "oof_by_conversation": oof_by_conversation,
     "csv_round_trip": csv_round_trip,
     "report_csv": report_csv,

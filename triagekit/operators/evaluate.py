@@ -91,15 +91,17 @@ def confused_pairs(confusion: DataFrame, n: int = N_CONFUSED_PAIRS) -> DataFrame
     return pairs.orderBy(F.desc("count"), "true_label", "predicted_label").limit(n)
 
 
-def worst_errors(preds: DataFrame, texts: DataFrame, n: int = N_WORST_ERRORS) -> DataFrame:
-    """The ``n`` most confident wrong predictions with their texts.
+def worst_errors(preds: DataFrame, texts: DataFrame, n: int = N_WORST_ERRORS, key: str = "doc_id") -> DataFrame:
+    """The ``n`` most confident wrong predictions with their texts, which are found by ``key``.
 
-    The report is cut first, so the text table is joined with ``n`` rows only.
+    ``key`` is unique in both tables, while ``doc_id`` may repeat. The report is cut first, so the text
+    table is joined with ``n`` rows only.
     """
-    worst = misclassified(preds).orderBy(F.desc("confidence"), "doc_id").limit(n)
-    return texts.select("doc_id", "ticket_text").join(F.broadcast(worst), "doc_id").select(
-        "doc_id", "ticket_text", F.col("category").alias("true_label"), "predicted_label", "confidence"
-    ).orderBy(F.desc("confidence"), "doc_id")
+    order = [F.desc("confidence"), "doc_id", key]
+    worst = misclassified(preds).orderBy(*order).limit(n)
+    return texts.select(F.col(key).alias("_key"), "ticket_text").join(F.broadcast(worst), F.col("_key") == F.col(key)).orderBy(
+        *order
+    ).select("doc_id", "ticket_text", F.col("category").alias("true_label"), "predicted_label", "confidence")
 
 
 def quality_gate(summary: DataFrame, floor: float = QUALITY_FLOOR) -> DataFrame:

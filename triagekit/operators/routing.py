@@ -12,6 +12,7 @@ from triagekit.functions.text import summary_line
 from triagekit.operators.clean import check_requests
 from triagekit.operators.ranking import confidence, top_k, top_label
 from triagekit.operators.thresholds import is_low_confidence
+from triagekit.sources.store import materialize
 
 
 def answer(df: DataFrame, threshold: float = CONFIDENCE_THRESHOLD, k: int = TOP_K, ranked: str = "ranked") -> DataFrame:
@@ -40,14 +41,18 @@ def classify(
 
     ``score`` turns ``(doc_id, ticket_text, reject_reason, request_id)`` into ``(doc_id,
     reject_reason, request_id, ranked)``; it may sum over the rows of a ``doc_id``. Each row goes
-    through it under a number of its own, so that callers may repeat ids or leave them null. A stream
-    is scored row by row and keeps its ids. Rejected rows go through with a null text, which costs
-    nothing, so the input is read once and nothing has to be joined back.
+    through it under a number of its own, so that callers may repeat ids or leave them null. The numbered
+    rows are written first: an input that is computed again after a loss may come in another order, and
+    words of two requests must not meet under one number. A stream is scored row by row and keeps its
+    ids. Rejected rows go through with a null text, which costs nothing, so the input is read once and
+    nothing has to be joined back.
     """
     own = F.col("doc_id") if requests.isStreaming else F.monotonically_increasing_id()
     checked = check_requests(requests).select(
         own.alias("doc_id"), F.col("clean_text").alias("ticket_text"), "reject_reason", F.col("doc_id").alias("request_id")
     )
+    if not requests.isStreaming:
+        checked = materialize(checked, "requests")
     scored = score(checked, "request_id").select(F.col("request_id").alias("doc_id"), "reject_reason", "ranked")
     ok = F.col("reject_reason").isNull()
     answers = answer(scored, threshold, k)

@@ -20,7 +20,7 @@ from triagekit.operators import logistic, softmax
 from triagekit.operators.baseline import predict_majority
 from triagekit.operators.bayes import BayesModel, BayesSpec, fit_bayes, score_bayes
 from triagekit.operators.clean import clean_labelled
-from triagekit.operators.evaluate import cv_summary, macro_f1, select_model
+from triagekit.operators.evaluate import cv_summary, macro_f1, select_model, worst_errors
 from triagekit.operators.ranking import confidence, top_label
 from triagekit.operators.split import assign_split, split_cuts
 from triagekit.operators.vectorize import add_terms, term_rows
@@ -42,8 +42,7 @@ class Study:
     """``docs`` is ``(doc_id, ticket_text, category)``.
 
     Ids may repeat or be null: features carry a ``row_key`` of their own, and results the caller's id.
-    Rows with the same id share a fold; a row without id is split by the digest of its text. Only
-    ``worst_errors`` finds texts by id.
+    Rows with the same id share a fold; a row without id is split by the digest of its text.
     """
 
     def __init__(
@@ -65,8 +64,10 @@ class Study:
 
     @cached_property
     def counted(self) -> DataFrame:
-        """``doc_id, category, split_key, row_key, terms`` of all rows: the only step that reads the texts."""
-        return materialize(self.terms(self.docs.withColumn("row_key", F.monotonically_increasing_id())), "features")
+        """``doc_id, category, split_key, row_key, ticket_text, terms`` of all rows: the only step that reads the
+        source. Readers take the columns that they need; the texts lie beside the keys that name them."""
+        keyed = self.docs.withColumn("row_key", F.monotonically_increasing_id()).withColumn("_text", F.col("ticket_text"))
+        return materialize(self.terms(keyed).withColumnRenamed("_text", "ticket_text"), "features")
 
     @cached_property
     def cuts(self) -> DataFrame:
@@ -86,8 +87,7 @@ class Study:
     def grid_features(self) -> DataFrame:
         if self.spec.ngram_max >= max(GRID_NGRAM):
             return self.features
-        keyed = self.docs.withColumn("row_key", F.monotonically_increasing_id())
-        return self.split(materialize(self.terms(keyed, max(GRID_NGRAM)), "grid-features"))
+        return self.split(materialize(self.terms(self.counted.drop("terms"), max(GRID_NGRAM)), "grid-features"))
 
     def cv_rows(self, features: DataFrame, key: str = "row_key") -> DataFrame:
         """Development rows; each is held out from its own fold. ``key`` is what models know a row by."""
@@ -103,19 +103,19 @@ class Study:
             F.col(key).alias("doc_id"), F.col("doc_id").alias("source_id"), "category", part.alias("part"), "terms"
         )
 
+    def _named(self, preds: DataFrame) -> DataFrame:
+        """Out-of-fold predictions by row key, with the caller's ids beside it."""
+        return preds.select(
+            F.col("source_id").alias("doc_id"), "category", F.col("part").alias("fold"), "predicted_label", "confidence",
+            "ranked", F.col("doc_id").alias("row_key"),
+        )
+
     @cached_property
     def oof(self) -> DataFrame:
         """Every development row scored once, by the model of the other folds."""
         rows = self.cv_rows(self.features)
         model = fit_bayes(rows, [self.spec], self.folds)
-        preds = with_top(score_bayes(model, rows, "category", "source_id"))
-        return materialize(
-            preds.select(
-                F.col("source_id").alias("doc_id"), "category", F.col("part").alias("fold"), "predicted_label",
-                "confidence", "ranked",
-            ),
-            "oof",
-        )
+        return materialize(self._named(with_top(score_bayes(model, rows, "category", "source_id"))), "oof")
 
     @cached_property
     def baseline_oof(self) -> DataFrame:
@@ -145,8 +145,12 @@ class Study:
 
     def texts(self, split: str) -> DataFrame:
         """Texts of the development rows (``dev``) or of the holdout."""
-        rows = self.split(self.docs).where(F.col("split") == split)
-        return rows.select("doc_id", "ticket_text", "category", "fold")
+        rows = self.split(self.counted).where(F.col("split") == split)
+        return rows.select("doc_id", "ticket_text", "category", "fold", "row_key")
+
+    def worst_errors(self, oof: DataFrame) -> DataFrame:
+        """The most confident wrong out-of-fold predictions of a model, one row each, with their texts."""
+        return worst_errors(oof, self.counted, key="row_key")
 
     @cached_property
     def wide_vocabulary(self) -> bool:
@@ -165,10 +169,12 @@ class Study:
         if self.wide_vocabulary:
             rows = self.cv_rows(self.features)
             preds = with_top(softmax.score_softmax(self.softmax_cv, rows, "category", "source_id"))
-            named = preds.withColumn("doc_id", F.col("source_id")).withColumnRenamed("part", "fold")
-            return materialize(named.select(*self.oof.columns), "logistic-study-oof")
-        preds = with_top(logistic.logistic_oof(self.texts("dev"), self.folds, stop_words=self.stop_words))
-        return materialize(preds.select(*self.oof.columns), "logistic-study-oof")
+            return materialize(self._named(preds), "logistic-study-oof")
+        # The fits only carry the id along, so it may be a pair.
+        both = self.texts("dev").withColumn("doc_id", F.struct("row_key", F.col("doc_id").alias("source_id")))
+        preds = with_top(logistic.logistic_oof(both, self.folds, stop_words=self.stop_words)).withColumnRenamed("fold", "part")
+        named = preds.withColumn("source_id", F.col("doc_id.source_id")).withColumn("doc_id", F.col("doc_id.row_key"))
+        return materialize(self._named(named), "logistic-study-oof")
 
     @property
     def candidate_summary(self) -> DataFrame:

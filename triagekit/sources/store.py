@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,6 +10,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagekit.errors import ModelNotFound, NoSharedFolder
 
@@ -79,11 +81,18 @@ def write_metrics(metrics: DataFrame, path: str, places: int | None = None) -> N
     metric_lines(metrics, places).write.mode("overwrite").text(path)
 
 
+@F.udf(T.StringType())
+def real_path(path):
+    """The file that a path names in the end; only mounted file systems have links."""
+    return os.path.realpath(path.removeprefix("file:")) if path.startswith("file:") else path
+
+
 def stored_megabytes(spark: SparkSession, path: str) -> float:
-    """Total size of all files below ``path`` in MiB; contents are never read."""
+    """Total size of all files below ``path`` in MiB; contents are never read, and a file that links name
+    as well counts once."""
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        size = files.select("path", "length").distinct().agg(F.sum("length").alias("n")).first()["n"]
+        size = files.select(real_path("path").alias("path"), "length").distinct().agg(F.sum("length").alias("n")).first()["n"]
     except AnalysisException as exc:
         raise ModelNotFound(path) from exc
     return (size or 0) / (1024 * 1024)
