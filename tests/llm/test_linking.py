@@ -122,6 +122,20 @@ def test_only_copyright_statements_are_dropped(spark):
     assert not empty.first()[0]
 
 
+def test_wrapped_licences_as_sql(spark, tmp_path):
+    """Known texts at several widths, with statements, titles and prose around them, and statements alone."""
+    wrapped = lambda text, width: "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+    own = ["", "Copyright (c) 2024 Jane Doe\n", "Copyright 2020 A B. All rights reserved.\n\n", "MIT License (c) by C, 2011 ", "In prose: ", "Copyright (c) 2024 Jane Doe "]
+    texts = [before + wrapped(text, width) for _, text in licences.KNOWN[:40] for width in (31, 80, 5000) for before in own]
+    texts += [text for _, text in licences.KNOWN] + [None, "", "© 1999 me", "All rights reserved", "neither the name of X nor the names of its contributors", "non-\ncommercial copyright  holders"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op7_licences(spark, str(tmp_path))
+    assert got.where("licence is not null").count() > len(texts) / 2
+    assert difference(got, con, oracles.LICENCES) is None
+
+
 def test_same_rows_as_sql(spark, sf):
     con = connect(sf)
     for name, sql in oracles.ORACLES.items():

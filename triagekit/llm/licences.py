@@ -28,8 +28,6 @@ SPELLINGS = (
 )
 #: Spellings of words with a blank, a sign or a line end between them: applied when those are single blanks.
 PHRASES = (("non commercial", "noncommercial"), ("copyright holder", "copyright owner"))
-# --- fixed values: lines that name a holder or a year and differ in every copy, in the SQL twin -----------
-COPYRIGHT_LINE = r"^((copyright|c) (.* )?([0-9]{4}|yyyy|year)( .*)?|all rights reserved)$"
 
 # --- fixed values: known licence texts and notices ----------------------------------------------------
 SHORT = (

@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
-from triagekit.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from triagekit.llm.licences import (
+    FIXED_STATEMENT, KNOWN, NAMES_OF, OPENINGS, PHRASES, SPELLINGS, STATEMENT,
+)
 
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def replaced(x: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    for pattern, to in pairs:
+        x = f"replace({x}, {quoted(pattern)}, {quoted(to)})"
+    return x
+
+
 def canonical_line(x: str) -> str:
-    out = f"lower({x})"
-    for pattern, to in SPELLINGS:
-        out = f"replace({out}, {quoted(pattern)}, {quoted(to)})"
-    return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    words = f"trim(regexp_replace({replaced(f'lower({x})', SPELLINGS)}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    return replaced(words, PHRASES)
+
+
+def statement() -> tuple[str, str]:
+    """The pattern of copyright statements and what replaces it; these expressions cannot look ahead, so the
+    words that end a statement are matched and put back."""
+    ahead = f"(?=$| (?:{'|'.join(OPENINGS)}))"
+    groups = STATEMENT.count(ahead) + 1
+    return STATEMENT.replace(ahead, ahead.replace("(?=", "(")), "".join(f"\\{i + 1}" for i in range(groups))
+
+
+def licence_digest(lines: str) -> str:
+    """Digest of a whole text, from its canonical lines."""
+    pattern, back = statement()
+    kept = f"array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10))"
+    kept = f"regexp_replace({kept}, {quoted(FIXED_STATEMENT)}, '', 'g')"
+    kept = f"regexp_replace({kept}, {quoted(pattern)}, {quoted(back)}, 'g')"
+    words = f"trim(regexp_replace({kept}, '[ \\n]+', ' ', 'g'))"
+    names = f"regexp_replace({words}, {quoted(NAMES_OF)}, 'neither the name of the copyright holder nor the names of its contributors', 'g')"
+    return f"md5({replaced(names, PHRASES)})"
 
 
 LINES = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {canonical_line('x')})"
-WHOLE = f"md5(array_to_string(list_filter(lines, lambda x: x <> '' AND NOT regexp_matches(x, {quoted(COPYRIGHT_LINE)})), ' '))"
 
-LICENCES = f"""WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {WHOLE} AS digest FROM (
+LICENCES = f"""WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, {licence_digest('lines')} AS digest FROM (
 SELECT licence, {LINES} AS lines FROM (VALUES {', '.join(f'({quoted(n)}, {quoted(t)})' for n, t in KNOWN)}) k(licence, text)))
 WHERE digest <> md5('') GROUP BY digest),
 d AS (SELECT doc_id, md5(coalesce(text, '')) AS raw, {LINES} AS lines FROM documents),
 notices AS (SELECT raw, string_agg(licence, ',' ORDER BY licence) AS notices FROM (SELECT DISTINCT raw, licence FROM (
 SELECT raw, unnest(lines) AS line FROM d) l JOIN known ON known.digest = md5(line) WHERE line <> '') GROUP BY raw),
-w AS (SELECT doc_id, raw, {WHOLE} AS digest FROM d)
+w AS (SELECT doc_id, raw, {licence_digest('lines')} AS digest FROM d)
 SELECT doc_id, digest, licence, notices FROM w LEFT JOIN known USING (digest) LEFT JOIN notices USING (raw)"""
 
 #: Each turn quotes the two before it, so quotes need not be parsed: they are the passages of those turns.
