@@ -62,6 +62,38 @@ def test_out_of_fold_scores_equal_brute_force(spark, small, ngram, min_df, alpha
             assert got[i] == pytest.approx(p, abs=1e-9)
 
 
+@pytest.mark.parametrize("at_once", [400, 10])
+def test_many_classes_in_blocks_and_one_shuffle(spark, monkeypatch, at_once):
+    """77 classes as columns of one aggregation, or in blocks of two, against dense arrays."""
+    monkeypatch.setattr(bayes, "SUMS_AT_ONCE", at_once)
+    rows = [(i, " ".join(f"w{(i * 7 + j * j * (i % 5 + 1)) % 53}" for j in range(6)), f"class{i % 77:02d}") for i in range(308)]
+    rows += [(1000, "unseenword", "class03"), (1001, "", "class04")]
+    st = Study(spark.createDataFrame(rows, "doc_id long, ticket_text string, category string"), holdout=(0, 100))
+    dev = [tuple(r) for r in st.texts("dev").select("doc_id", "ticket_text", "category", "fold").collect()]
+    features = st.cv_rows(st.features, "doc_id")
+    model = bayes.fit_bayes(features, parts=5)
+    assert model.header.blocks == (1 if at_once == 400 else 39)
+    scored = bayes.score_bayes(model, features)
+    shuffles = scored._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles == (1 if at_once == 400 else 2)
+    got = probabilities(scored)
+    for k in range(5):
+        for i, p in brute_force([r[:3] for r in dev if r[3] != k], [r[:3] for r in dev if r[3] == k], 2, 1, 0.1).items():
+            assert got[i] == pytest.approx(p, abs=1e-9)
+
+
+def test_hot_terms_are_bounded(spark, small, conf):
+    """However many terms exceed a salt's rows, the list that is copied to all tasks keeps its bound."""
+    conf("spark.triagekit.rowsPerSalt", 1)
+    table = bayes.doc_frequency(Study(small).cv_rows(Study(small).features), 5).table
+    every = table.hot_terms().count()
+    conf("spark.triagekit.maxHotTerms", 60)
+    hot = table.hot_terms().collect()
+    assert every > 60 >= len(hot) > 0
+    totals = {r.term: r.total for r in table.df.collect()}
+    assert all(r.n_salts >= 2 and totals[r.term] / r.n_salts <= table.rows_behind / 60 + 1 for r in hot)
+
+
 def test_shuffled_joins_give_the_same_scores(spark, small, conf):
     plain = probabilities(Study(small).oof)
     conf("spark.triagekit.broadcastBytes", 1)
@@ -207,7 +239,20 @@ def test_table_of_weights_has_the_same_optimum(spark, small, monkeypatch):
 
 
 @pytest.mark.slow
-def test_wide_vocabulary_needs_no_driver(spark, small, conf):
+def test_grid_of_weight_tables_agrees_with_the_driver_form(spark, small, conf, monkeypatch):
+    """All settings and folds in shared passes, against one fit after another."""
+    monkeypatch.setattr(logistic, "LR_TOLERANCE", 1e-10)
+    st = Study(small, folds=3)
+    asked = dict(Cs=[0.1, 10.0], min_dfs=[1, 4], ngrams=[1, 2])
+    key = lambda df: {(r.C, r.min_df, r.ngram_max, r.fold): r.macro_f1 for r in df.collect()}
+    want = key(st.logistic_grid(**asked))
+    conf("spark.triagekit.driverVocabulary", 10)
+    got = key(st.logistic_grid(**asked))
+    assert len(got) == 24 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+@pytest.mark.slow
+def test_wide_vocabulary_needs_no_driver(spark, small, conf, tmp_path):
     conf("spark.triagekit.driverVocabulary", 10)
     st = Study(small)
     assert st.wide_vocabulary
@@ -216,6 +261,11 @@ def test_wide_vocabulary_needs_no_driver(spark, small, conf):
     assert st.chosen_holdout.count() == st.texts("holdout").count()
     answers = routing.classify(requests(spark), st.chosen_scorer()).collect()
     assert len(answers) == 6 and sum(r.reject_reason is not None for r in answers) == 3
+    requests(spark).write.parquet(str(tmp_path / "in"))
+    source = streaming.request_stream(spark, str(tmp_path / "in"), requests(spark).schema)
+    st.logistic_stream(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    streamed = {r.doc_id: r for r in streaming.read_answers(spark, str(tmp_path / "out")).collect()}
+    assert {i: r.category for i, r in streamed.items()} == {r.doc_id: r.category for r in answers}
 
 
 def test_direction_is_the_two_loop_recursion():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagekit.constants import (
-    GRID_C, GRID_MIN_DF, GRID_NGRAM, HEAD_C, N_FOLDS, N_MEASURED, PRECISION_TARGET,
+    HEAD_C, N_FOLDS, N_MEASURED, PRECISION_TARGET,
 )
 from triagekit.functions.text import display_label, percent, term_list, tokens, without
 from triagekit.operators import embed, evaluate, logistic, profile, routing, softmax, split, thresholds, vectorize
@@ -558,18 +558,18 @@ def embedding_certificate(spark, sf_dir):
 
 
 def lr_grid(spark, sf_dir):
-    scores = logistic.logistic_grid(dev_texts(study(spark, sf_dir, "t_role")), N_FOLDS, GRID_NGRAM, GRID_MIN_DF, GRID_C)
+    scores = study(spark, sf_dir, "t_role").logistic_grid()
     return rank_settings(evaluate.cv_summary(scores, "C", "min_df", "ngram_max"), "C", "min_df", "ngram_max")
 
 
 def lr_stream(spark, sf_dir):
     """A fitted pipeline on a stream of documents."""
-    model = logistic.fit_logistic(dev_texts(study(spark, sf_dir, "t_role")))
+    st = study(spark, sf_dir, "t_role")
     schema = document_requests(spark, sf_dir).schema
     requests = streaming.request_stream(spark, f"{sf_dir}/documents.parque*", schema)
     out, mark = new_path(spark, "lr-stream"), new_path(spark, "lr-stream-checkpoint")
-    streaming.classify_stream_pipeline(requests, model, out, mark).awaitTermination()
-    return flat_answers(spark.read.parquet(out))
+    st.logistic_stream(requests, out, mark).awaitTermination()
+    return flat_answers(streaming.read_answers(spark, out))
 
 
 def embedding_head(spark, sf_dir):

@@ -5,7 +5,9 @@ and ``a`` the smoothing, a document with weights ``w`` scores
 
     ln prior + sum(w) * (ln a - ln(D + a V)) + sum over terms with S > 0 of w * ln(1 + S / a)
 
-so only class-term pairs that occur are joined, and classes without a hit still get their score.
+so classes without a hit still get their score. The table has one row per term with its classes side
+by side, a block of them if they are many (and only blocks that occur); a document's sums over them are
+columns of one aggregation, partly added up before its single shuffle.
 Several settings (``specs``) and several parts (see ``vectorize``) share every pass over the data:
 one to count documents per term, one for vector lengths, one for ``S``, one to score.
 """
@@ -31,6 +33,8 @@ from triagekit.operators.vectorize import (
 from triagekit.sources.store import materialize
 
 MAX_HEADER_VALUES = 4_000_000
+#: Sums (classes x settings or parts) that one aggregation takes side by side.
+SUMS_AT_ONCE = 400
 
 
 @dataclass(frozen=True)
@@ -54,6 +58,11 @@ class BayesHeader:
     log_prior: list[list[float | None]]  # [part][class]; null where the part has no such class
     class_sum: list[list[float]]  # [part * rules + rule][class]
     vocabulary: list[int]  # [part * rules + rule]
+    width: int  # classes of a block
+
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.labels) // self.width)
 
     @property
     def rules(self) -> list[TermRule]:
@@ -62,10 +71,10 @@ class BayesHeader:
 
 @dataclass(frozen=True)
 class BayesModel:
-    """``terms``: one row per term and class that occur together.
+    """``terms``: one row per term and block of classes that occur together.
 
-    ``s_i`` is the summed weight in slot ``i`` (null where the slot does not know the term);
-    ``total`` and ``own_p`` count documents of the term, and ``lead`` marks one row per term, on
+    ``s_i`` holds the summed weights of the block's classes in slot ``i`` (zero where the slot does not know
+    the term); ``total`` and ``own_p`` count documents of the term, and ``lead`` marks one row per term, on
     which sums that all classes share are taken.
     """
 
@@ -83,44 +92,48 @@ def fit_bayes(features: DataFrame, specs: list[BayesSpec] | None = None, parts:
 
     freq = doc_frequency(features, parts)
     norms = doc_norms(features, freq, rules)
-    terms = materialize(_class_sums(features, norms, labels, freq, rules), "bayes-terms")
-    header = _header(features, terms, labels, specs, freq, rules)
-    return BayesModel(TermTable.measure(terms, 16 + 8 * parts * (1 + len(rules))), header)
+    width = max(1, min(len(labels), SUMS_AT_ONCE // max(len(specs), parts * len(rules))))
+    terms = materialize(_class_sums(features, norms, labels, freq, rules, width), "bayes-terms")
+    header = _header(features, terms, labels, specs, freq, rules, width)
+    return BayesModel(TermTable.measure(terms, 16 + 8 * parts * (1 + width * len(rules))), header)
 
 
-def _class_sums(features: DataFrame, norms: DataFrame, labels: list[str], freq: DocFrequency, rules) -> DataFrame:
+def _class_sums(
+    features: DataFrame, norms: DataFrame, labels: list[str], freq: DocFrequency, rules: list[TermRule], width: int
+) -> DataFrame:
     """Sum ``tf / length`` per term and class, then bring in the factor that all rows of a term
-    share, its idf. Document counts come along in the same pass."""
+    share, its idf. Document counts come along in the same pass: classes of a block are columns."""
     parts, pairs = freq.parts, slots(freq.parts, rules)
     class_idx = F.coalesce(F.array_position(F.lit(labels), F.col("category")) - 1, F.lit(-1)).cast("int")
     docs = features.withColumn("class_idx", class_idx).join(norms, "doc_id")
     names = [f"norm_{i}" for i in range(len(pairs))]
-    facts = term_rows(docs, "part", "class_idx", *names)
+    block = F.floor(F.greatest("class_idx", F.lit(0)) / width).cast("int")
+    facts = term_rows(docs, "part", "class_idx", *names).withColumn("block", block)
     sums = []
     for i, (p, _) in enumerate(pairs):
         share = F.col("tf") / F.nullif(F.col(names[i]), F.lit(0.0))
-        sums.append(F.sum(F.when(F.col("part") != p, share)).alias(f"s_{i}"))
-    counts = [F.count_if(F.col("part") == p).alias(f"own_{p}") for p in range(parts)]
-    per_class = facts.groupBy("term", "class_idx").agg(F.count("*").alias("total"), *counts, *sums)
-
-    # At most one row per class for any term, so the window holds a bounded number of rows.
-    of_term = Window.partitionBy("term")
+        for c in range(width):
+            of_class = (F.col("part") != p) & (F.col("class_idx") % width == c)
+            sums.append(F.sum(F.when(of_class, share)).alias(f"s_{i}_{c}"))
     counted = ["total", *[f"own_{p}" for p in range(parts)]]
-    known = per_class.select(
-        "term",
-        "class_idx",
-        (F.row_number().over(of_term.orderBy("class_idx")) == 1).alias("lead"),
-        *[F.sum(c).over(of_term).alias(c) for c in counted],
-        *[f"s_{i}" for i in range(len(pairs))],
-    )
-    scaled = [
-        F.when(rule.allows(train_df(p)), F.col(f"s_{i}") * train_idf(p, freq.n_train)).alias(f"s_{i}")
-        for i, (p, rule) in enumerate(pairs)
-    ]
-    return known.select("term", "class_idx", "lead", *counted, *scaled)
+    counts = [F.count("*").alias("total"), *[F.count_if(F.col("part") == p).alias(f"own_{p}") for p in range(parts)]]
+    rows = facts.groupBy("term", "block").agg(*counts, *sums)
+    lead = F.lit(True)
+    if width < len(labels):  # at most one row per block for any term, so the window holds a bounded number of rows
+        of_term = Window.partitionBy("term")
+        lead = F.min("block").over(of_term) == F.col("block")
+        rows = rows.select("*", lead.alias("lead"), *[F.sum(c).over(of_term).alias(f"all_{c}") for c in counted])
+        rows = rows.drop(*counted).withColumnsRenamed({f"all_{c}": c for c in counted})
+        lead = F.col("lead")
+
+    def scaled(i: int, p: int, rule: TermRule) -> Column:
+        idf = F.when(rule.allows(train_df(p)), train_idf(p, freq.n_train))
+        return F.array(*[F.coalesce(F.col(f"s_{i}_{c}") * idf, F.lit(0.0)) for c in range(width)]).alias(f"s_{i}")
 
+    return rows.select("term", "block", lead.alias("lead"), *counted, *[scaled(i, *pair) for i, pair in enumerate(pairs)])
 
-def _header(features, terms: DataFrame, labels, specs, freq: DocFrequency, rules) -> BayesHeader:
+
+def _header(features, terms: DataFrame, labels, specs, freq: DocFrequency, rules, width: int) -> BayesHeader:
     parts, n, pairs = freq.parts, len(labels), slots(freq.parts, rules)
     rows = features.groupBy("part", "category").agg(F.count("*").alias("n")).collect()  # parts x classes
     log_prior = []
@@ -135,15 +148,17 @@ def _header(features, terms: DataFrame, labels, specs, freq: DocFrequency, rules
     known = [
         F.count_if(F.col("lead") & rule.allows(train_df(p))).alias(f"v{i}") for i, (p, rule) in enumerate(pairs)
     ]
-    sums = [F.coalesce(F.sum(f"s_{i}"), F.lit(0.0)).alias(f"d{i}") for i in range(len(pairs))]
+    places = [(i, c) for i in range(len(pairs)) for c in range(width)]
+    sums = [F.sum(F.get(f"s_{i}", F.lit(c))).alias(f"d{i}_{c}") for i, c in places]
     vocabulary = [0] * len(pairs)
     class_sum = [[0.0] * n for _ in pairs]
-    for r in terms.groupBy("class_idx").agg(*known, *sums).collect():  # one row per class
+    for r in terms.groupBy("block").agg(*known, *sums).collect():  # one row per block of classes
         for i in range(len(pairs)):
             vocabulary[i] += int(r[f"v{i}"])
-            if r["class_idx"] >= 0:
-                class_sum[i][r["class_idx"]] = r[f"d{i}"]
-    return BayesHeader(labels, specs, freq.n_train, log_prior, class_sum, vocabulary)
+        for i, c in places:
+            if r["block"] * width + c < n:
+                class_sum[i][r["block"] * width + c] = r[f"d{i}_{c}"]
+    return BayesHeader(labels, specs, freq.n_train, log_prior, class_sum, vocabulary, width)
 
 
 def score_bayes(model: BayesModel, features: DataFrame, *keep: str) -> DataFrame:
@@ -164,12 +179,12 @@ def score_bayes(model: BayesModel, features: DataFrame, *keep: str) -> DataFrame
         F.array(*[F.col(f"s_{p * len(rules) + j}") for p in range(parts)]).alias(f"sum_{j}") for j in range(len(rules))
     ]
     facts = join_terms(
-        term_rows(features, *keys, outer=True), model.terms, ["class_idx", "lead", *idf, *sums], "doc_id"
+        term_rows(features, *keys, outer=True), model.terms, ["block", "lead", *idf, *sums], "doc_id"
     )
     part = F.col("part")
     facts = facts.select(
         *keys,
-        "class_idx",
+        "block",
         "lead",
         *[(F.col("tf") * F.get(f"idf_{j}", part)).alias(f"u_{j}") for j in range(len(rules))],
         *[F.get(f"sum_{j}", part).alias(f"s_{j}") for j in range(len(rules))],
@@ -179,17 +194,19 @@ def score_bayes(model: BayesModel, features: DataFrame, *keep: str) -> DataFrame
         u = F.when(F.col("lead"), F.col(f"u_{j}"))
         aggs += [F.sum(u).alias(f"w_{j}"), F.sum(u * u).alias(f"q_{j}")]
     of_rule = [rules.index(s.rule) for s in h.specs]
-    for i, (spec, j) in enumerate(zip(h.specs, of_rule)):
-        aggs.append(F.sum(F.col(f"u_{j}") * F.log1p(F.col(f"s_{j}") / spec.alpha)).alias(f"r_{i}"))
-    per_class = facts.groupBy(*keys, "class_idx").agg(*aggs)
-
-    # One row per document: shared sums added up, the hits of its classes (at most all of them)
-    # side by side.
-    hit = F.struct(F.col("class_idx"), F.array(*[F.col(f"r_{i}") for i in range(len(of_rule))]).alias("r"))
-    shared = [F.sum(f"{x}_{j}").alias(f"{x}_{j}") for j in range(len(rules)) for x in "wq"]
-    docs = per_class.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("class_idx") >= 0, hit))).alias("hits"), *shared
-    )
+    hits = []
+    for spec, j in zip(h.specs, of_rule):
+        for c in range(h.width):
+            hits.append(f"r_{len(hits)}")
+            aggs.append(F.sum(F.col(f"u_{j}") * F.log1p(F.get(f"s_{j}", F.lit(c)) / spec.alpha)).alias(hits[-1]))
+    if h.blocks == 1:
+        docs = facts.groupBy(*keys).agg(*aggs).withColumn("hits", F.create_map(F.lit(0), F.array(*hits)))
+    else:  # then the blocks of a document (at most all of them) side by side, and shared sums added up
+        of_block = F.when(F.col("block").isNotNull(), F.struct("block", F.array(*hits).alias("r")))
+        shared = [F.sum(f"{x}_{j}").alias(f"{x}_{j}") for j in range(len(rules)) for x in "wq"]
+        docs = facts.groupBy(*keys, "block").agg(*aggs).groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(of_block)).alias("hits"), *shared
+        )
     scores = F.array(
         *[
             F.struct(F.lit(i).alias("spec"), _scores(h, i, j, part).alias("scores"))
@@ -224,7 +241,7 @@ def _scores(h: BayesHeader, i: int, j: int, part: Column) -> Column:
                 (
                     F.get(k["prior"], c)
                     + k["total"] * F.get(k["slope"], c)
-                    + F.coalesce(F.get(F.col("hits")[c], F.lit(i)) / k["length"], F.lit(0.0))
+                    + F.coalesce(F.get(F.col("hits")[F.floor(c / h.width).cast("int")], i * h.width + c % h.width) / k["length"], F.lit(0.0))
                 ).alias("score"),
             ),
         ),
@@ -240,12 +257,13 @@ def log_likelihoods(model: BayesModel, part: int = 0, spec: int = 0) -> DataFram
     s = h.specs[spec]
     slot = part * len(h.rules) + h.rules.index(s.rule)
     denominators = [math.log(d + s.alpha * h.vocabulary[slot]) for d in h.class_sum[slot]]
-    value = F.col(f"s_{slot}")
-    return model.terms.df.where(value > 0).select(
+    each = model.terms.df.select("term", "block", F.posexplode(f"s_{slot}").alias("at", "value")).where("value > 0")
+    class_idx = F.col("block") * h.width + F.col("at")
+    return each.select(
         "term",
-        F.get(F.lit(h.labels), F.col("class_idx")).alias("category"),
-        value.alias("weight_sum"),
-        (F.ln(value + s.alpha) - F.get(F.lit(denominators), F.col("class_idx"))).alias("log_likelihood"),
+        F.get(F.lit(h.labels), class_idx).alias("category"),
+        F.col("value").alias("weight_sum"),
+        (F.ln(F.col("value") + s.alpha) - F.get(F.lit(denominators), class_idx)).alias("log_likelihood"),
     )
 
 

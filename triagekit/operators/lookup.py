@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from triagekit.session import setting
 
-BROADCAST_BYTES = 256 * 1024 * 1024
-ALWAYS_BROADCAST_ROWS = 200_000
-FACTS_PER_ROW = 20
+BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_SALT = 2_000_000
+MAX_HOT_TERMS = 100_000
 NULL_SALTS = 1024
 
 
@@ -20,9 +19,10 @@ NULL_SALTS = 1024
 class TermTable:
     """A written table keyed by ``term``, with what its joins need to know about its size.
 
-    ``rows_behind`` is the number of fact rows that the table's ``total`` column adds up to. A term
-    with more than ``rows_per_salt`` of them is *hot*; there are at most
-    ``rows_behind / rows_per_salt`` hot terms, so their list is bounded by construction.
+    ``rows_behind`` is the number of fact rows that the table's ``total`` column adds up to. A term with
+    more than a salt's rows of them is *hot*. A salt takes ``rowsPerSalt`` rows, or more where the facts
+    are so many that over ``maxHotTerms`` terms could exceed that; so the list of hot terms never has
+    more rows than that, however large the data.
     """
 
     df: DataFrame
@@ -44,14 +44,13 @@ class TermTable:
         return cls(df, int(row[0]), int(row[1]), int(row[2]))
 
     def fits_broadcast(self) -> bool:
-        """Small enough to copy to every executor, and worth it: building the copy takes one thread
-        through all its rows, so beyond a modest size the facts must outnumber them clearly."""
-        if self.bytes > setting(self.df.sparkSession, "broadcastBytes", BROADCAST_BYTES):
-            return False
-        return self.rows <= ALWAYS_BROADCAST_ROWS or self.rows_behind >= FACTS_PER_ROW * self.rows
+        """Small enough to copy to every executor; one thread builds the copy, so the limit is modest."""
+        return self.bytes <= setting(self.df.sparkSession, "broadcastBytes", BROADCAST_BYTES)
 
     def hot_terms(self) -> DataFrame:
-        per_salt = setting(self.df.sparkSession, "rowsPerSalt", ROWS_PER_SALT)
+        spark = self.df.sparkSession
+        least = -(-self.rows_behind // setting(spark, "maxHotTerms", MAX_HOT_TERMS))
+        per_salt = max(setting(spark, "rowsPerSalt", ROWS_PER_SALT), least)
         rows = self.df.where("lead") if "lead" in self.df.columns else self.df
         return rows.where(F.col("total") > per_salt).select(
             "term", F.ceil(F.col("total") / per_salt).cast("int").alias("n_salts")

@@ -11,9 +11,10 @@ from functools import cached_property, reduce
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from triagekit.constants import (
-    CHALLENGER_MODEL, DEFAULT_MODEL, GRID_ALPHA, GRID_MIN_DF, GRID_NGRAM, HOLDOUT_SHARE, LR_NGRAM,
+    CHALLENGER_MODEL, DEFAULT_MODEL, GRID_ALPHA, GRID_C, GRID_MIN_DF, GRID_NGRAM, HOLDOUT_SHARE, LR_NGRAM,
     MAX_VOCABULARY_ON_DRIVER, N_FOLDS, SEED, STOP_WORDS,
 )
 from triagekit.operators import logistic, softmax
@@ -21,11 +22,16 @@ from triagekit.operators.baseline import predict_majority
 from triagekit.operators.bayes import BayesModel, BayesSpec, fit_bayes, score_bayes
 from triagekit.operators.clean import clean_labelled
 from triagekit.operators.evaluate import cv_summary, macro_f1, select_model, worst_errors
+from triagekit.operators.profile import label_list
 from triagekit.operators.ranking import confidence, top_label
 from triagekit.operators.split import assign_split, split_cuts
 from triagekit.operators.vectorize import add_terms, term_rows
 from triagekit.session import setting
 from triagekit.sources.store import materialize
+from triagekit.streaming.classify import classify_stream, classify_stream_pipeline
+
+#: Weights (fits x classes) of a term that a grid's fits hold at once; the optimiser keeps twenty arrays of them.
+GRID_WEIGHTS = 256
 
 
 def grid_specs() -> list[BayesSpec]:
@@ -155,8 +161,12 @@ class Study:
     @cached_property
     def wide_vocabulary(self) -> bool:
         """Whether logistic regression has more terms than a driver may hold; its weights are then a table."""
-        terms = term_rows(self.counted).where(F.lit(LR_NGRAM > 1) | (F.instr("term", " ") == 0)).select("term").distinct()
-        return terms.count() > setting(self.docs.sparkSession, "driverVocabulary", MAX_VOCABULARY_ON_DRIVER)
+        return self._is_wide(self.counted, LR_NGRAM)
+
+    @staticmethod
+    def _is_wide(rows: DataFrame, ngram_max: int) -> bool:
+        terms = term_rows(rows).where(F.lit(ngram_max > 1) | (F.instr("term", " ") == 0)).select("term").distinct()
+        return terms.count() > setting(rows.sparkSession, "driverVocabulary", MAX_VOCABULARY_ON_DRIVER)
 
     @cached_property
     def softmax_cv(self) -> softmax.SoftmaxModel:
@@ -176,6 +186,31 @@ class Study:
         named = preds.withColumn("source_id", F.col("doc_id.source_id")).withColumn("doc_id", F.col("doc_id.row_key"))
         return materialize(self._named(named), "logistic-study-oof")
 
+    def logistic_grid(self, Cs=GRID_C, min_dfs=GRID_MIN_DF, ngrams=GRID_NGRAM) -> DataFrame:
+        """``C, min_df, ngram_max, fold, macro_f1`` of all settings of logistic regression.
+
+        Where the vocabulary is too wide for a driver, weights are tables, and as many settings as
+        ``spark.triagekit.gridWeights`` allows share every pass, with all their folds.
+        """
+        features = self.grid_features
+        if not self._is_wide(features, max(ngrams)):
+            return logistic.logistic_grid(self.texts("dev"), self.folds, ngrams, min_dfs, Cs, self.stop_words)
+        rows = self.cv_rows(features)
+        specs = [softmax.SoftmaxSpec(n, m, float(C)) for n in ngrams for m in min_dfs for C in Cs]
+        weights = setting(self.docs.sparkSession, "gridWeights", GRID_WEIGHTS)
+        at_once = max(1, weights // (self.folds * len(label_list(rows, least=2))))
+        return reduce(
+            DataFrame.unionByName, [self._grid_part(rows, specs[low : low + at_once]) for low in range(0, len(specs), at_once)]
+        )
+
+    def _grid_part(self, rows: DataFrame, specs: list[softmax.SoftmaxSpec]) -> DataFrame:
+        model = softmax.fit_softmax(rows, specs, self.folds)
+        preds = with_top(softmax.score_softmax(model, rows, "category"))
+        scores = macro_f1(preds.select("spec", "part", "category", "predicted_label"), "spec", "part")
+        names = ["C", "min_df", "ngram_max"]
+        params = [F.get(F.lit([getattr(s, name) for s in specs]), F.col("spec")).alias(name) for name in names]
+        return materialize(scores.select(*params, F.col("part").alias("fold"), "macro_f1"), "logistic-grid")
+
     @property
     def candidate_summary(self) -> DataFrame:
         """Mean and deviation of the baseline and of both candidates on the same folds."""
@@ -216,6 +251,13 @@ class Study:
             return self.softmax_scorer()
         return logistic.logistic_scorer(self.final_logistic) if self.chosen == CHALLENGER_MODEL else self.scorer()
 
+    def logistic_stream(self, requests: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
+        """Answer a stream ``(doc_id, text)`` by logistic regression: row by row inside the stream's own plan, or
+        per micro-batch by the table of weights where the vocabulary is too wide for a driver."""
+        if self.wide_vocabulary:
+            return classify_stream(requests, self.softmax_scorer(), out, checkpoint, **options)
+        return classify_stream_pipeline(requests, self.final_logistic, out, checkpoint, **options)
+
     def softmax_scorer(self):
         """As ``scorer``, by logistic regression with its weights as a table."""
 
