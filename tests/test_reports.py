@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,11 +109,26 @@ def test_split_sizes_and_balance(spark):
     assert max(per) - min(per) <= 1
 
 
-def test_digest_ranges_do_not_change_the_split(spark, conf):
-    df = numbered(spark, 3000)
-    plain = sorted(map(str, split.stratified_split(df).collect()))
-    conf("spark.triagekit.digestRangeRows", 20)
-    assert sorted(map(str, split.stratified_split(df).collect())) == plain
+@pytest.mark.parametrize("digits", [0, 1, 3])
+def test_splits_equal_a_plain_ranking(spark, monkeypatch, digits):
+    """Whatever the ranges; repeated ids share a place, and the source is read twice for the cuts."""
+    monkeypatch.setattr(split, "RANGE_DIGITS", digits)
+    rows = [(i % 2500 if i % 3 else 7, None if i % 97 == 0 else "abc"[i % 7 % 3]) for i in range(3000)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(label):
+        read.add(1)
+        return label
+
+    df = spark.createDataFrame(rows, "doc_id long, category string")
+    seen = df.withColumn("category", F.udf(count, "string").asNondeterministic()("category"))
+    cuts = {r.category: r.cuts for r in split.split_cuts(seen).collect()}
+    assert read.value == 2 * len(rows)
+    counts = profile.class_counts(df)
+    ends = {r.category: r.fold_ends for r in split.class_quotas(counts).collect()}
+    for label, of_fold in cuts.items():
+        order = sorted(hashlib.md5(f"{split.SEED}:{i}".encode()).hexdigest() for i, c in rows if c == label)
+        assert of_fold == [order[end - 1] for end in ends[label]]
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 10])

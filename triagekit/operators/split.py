@@ -4,22 +4,22 @@ Rows of a class are put in the order of a keyed digest of their id. The developm
 fold are then stretches of that order, with sizes that follow from the class counts alone. So a
 row's place follows from comparing its digest with a few cut digests of its class: a map-side step
 against a table of classes, with no shuffle and no sort of the texts. Finding the cut digests reads
-ids and labels only, and ranks only the rows of the digest ranges in which a cut falls.
+ids and labels only, as running counts of digest ranges, of ranges within those that hold a cut, and of
+the digests within those.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagekit.constants import HOLDOUT_SHARE, MAX_CLASSES, N_FOLDS, SEED
 from triagekit.errors import LimitExceeded
-from triagekit.operators.profile import class_counts
-from triagekit.session import setting
 from triagekit.sources.store import materialize
 
+#: Hex digits of a digest range: 4,096 ranges, each cut into 4,096 again.
+RANGE_DIGITS = 3
+
 
 def order_digest(id_col: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
@@ -59,6 +59,16 @@ def class_quotas(
     return q.select(label, "count", "dev", F.array(*ends).alias("fold_ends"))
 
 
+def _narrow(counted: DataFrame, wanted: DataFrame, within: list[str], place: str) -> DataFrame:
+    """For each wanted ``rank`` of a group, the first ``place`` whose running count reaches it, and the rank there."""
+    upto = F.sum("n").over(Window.partitionBy(*within).orderBy(place))
+    there = counted.select(*within, place, "n", upto.alias("upto")).join(F.broadcast(wanted), within)
+    before = F.col("upto") - F.col("n")
+    return there.where((F.col("upto") >= F.col("rank")) & (before < F.col("rank"))).select(
+        *within, place, "fold", (F.col("rank") - before).alias("rank")
+    )
+
+
 def split_cuts(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -67,41 +77,28 @@ def split_cuts(
     k: int = N_FOLDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """``(label, cuts)``: the digest of the last row of every fold (null for an empty fold)."""
-    spark = df.sparkSession
-    counts = materialize(class_counts(df, label), "class-counts")
-    if counts.count() > MAX_CLASSES:
+    """``(label, cuts)``: the digest of the last row of every fold (null for an empty fold).
+
+    Reads ``df`` twice: one aggregation counts classes and digest ranges together, a second one the digests
+    of those ranges that hold a cut, at most (classes x folds) of 4,096 per class. Rows with the same digest
+    count as one entry before they move.
+    """
+    ids = df.select(F.col(label).alias("l"), order_digest(F.col(id_col), seed).alias("h")).where("l IS NOT NULL")
+    ids = ids.withColumn("first", F.substring("h", 1, RANGE_DIGITS))
+    ranges = materialize(ids.groupBy("l", "first").agg(F.count("*").alias("n")), "digest-ranges")
+    quotas = materialize(class_quotas(ranges.groupBy(F.col("l").alias(label)).agg(F.sum("n").alias("count")), label, holdout, k), "quotas")
+    if quotas.count() > MAX_CLASSES:
         raise LimitExceeded(f"more than {MAX_CLASSES} classes in column {label}")
-    quotas = materialize(class_quotas(counts, label, holdout, k), "quotas")
-    largest = quotas.agg(F.max("count")).first()[0]
-    # Enough hex digits that one digest range of the largest class is a modest sort.
-    per_range = setting(spark, "digestRangeRows", 200_000)
-    digits = min(6, max(0, math.ceil(math.log(max(largest, 1) / per_range, 16)))) if largest > per_range else 0
-
-    ids = df.select(F.col(label).alias("l"), order_digest(F.col(id_col), seed).alias("h")).withColumn(
-        "range", F.substring("h", 1, digits) if digits else F.lit("")
-    )
     wanted = quotas.select(F.col(label).alias("l"), F.posexplode("fold_ends").alias("fold", "rank")).where("rank > 0")
-    ranges = materialize(ids.groupBy("l", "range").agg(F.count("*").alias("n")), "digest-ranges")
-    upto = F.sum("n").over(Window.partitionBy("l").orderBy("range"))
-    # A rank falls into the first range whose running count reaches it. Both tables hold at most
-    # (classes x folds) and (classes x ranges) rows.
-    found = (
-        ranges.withColumn("upto", upto)
-        .join(F.broadcast(wanted), "l")
-        .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        .groupBy("l", "range", (F.col("upto") - F.col("n")).alias("before"))
-        .agg(F.collect_list(F.struct("fold", "rank")).alias("cuts"))
-    )
-    ranked = ids.join(F.broadcast(found), ["l", "range"]).withColumn(
-        "at", F.col("before") + F.row_number().over(Window.partitionBy("l", "range").orderBy("h"))
-    )
-    hits = (
-        ranked.select("l", "h", "at", F.explode("cuts").alias("c"))
-        .where("at = c.rank")
-        .groupBy(F.col("l").alias(label))
-        .agg(F.map_from_entries(F.collect_list(F.struct("c.fold", "h"))).alias("by_fold"))
-    )
+    # From here on all tables are small: classes x folds ranks, and the digests of the ranges that hold them.
+    wanted = _narrow(ranges, wanted, ["l"], "first")
+    held = F.broadcast(wanted.select("l", "first").distinct())
+    inside = materialize(ids.join(held, ["l", "first"]).groupBy("l", "first", "h").agg(F.count("*").alias("n")), "cut-ranges")
+    inside = inside.withColumn("second", F.substring("h", RANGE_DIGITS + 1, RANGE_DIGITS))
+    wanted = _narrow(inside.groupBy("l", "first", "second").agg(F.sum("n").alias("n")), wanted, ["l", "first"], "second")
+    held = F.broadcast(wanted.select("l", "first", "second").distinct())
+    wanted = _narrow(inside.join(held, ["l", "first", "second"]), wanted, ["l", "first", "second"], "h")
+    hits = wanted.groupBy(F.col("l").alias(label)).agg(F.map_from_entries(F.collect_list(F.struct("fold", "h"))).alias("by_fold"))
     cuts = hits.select(label, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.col("by_fold")[f]).alias("cuts"))
     return materialize(cuts, "split-cuts")
 
