@@ -92,7 +92,8 @@ def fit_bayes(features: DataFrame, specs: list[BayesSpec] | None = None, parts:
 
     freq = doc_frequency(features, parts)
     norms = doc_norms(features, freq, rules)
-    width = max(1, min(len(labels), SUMS_AT_ONCE // max(len(specs), parts * len(rules))))
+    # Several vectorisers fill a term's row already; with all classes beside them, rare terms would carry mostly zeros.
+    width = max(1, min(len(labels), SUMS_AT_ONCE // max(len(specs), parts))) if len(rules) == 1 else 1
     terms = materialize(_class_sums(features, norms, labels, freq, rules, width), "bayes-terms")
     header = _header(features, terms, labels, specs, freq, rules, width)
     return BayesModel(TermTable.measure(terms, 16 + 8 * parts * (1 + width * len(rules))), header)
