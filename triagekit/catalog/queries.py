@@ -569,7 +569,8 @@ def lr_stream(spark, sf_dir):
     requests = streaming.request_stream(spark, f"{sf_dir}/documents.parque*", schema)
     out, mark = new_path(spark, "lr-stream"), new_path(spark, "lr-stream-checkpoint")
     st.logistic_stream(requests, out, mark).awaitTermination()
-    return flat_answers(streaming.read_answers(spark, out))
+    # A stream's own sink keeps a log of whole files, which only a plain read follows.
+    return flat_answers(streaming.read_answers(spark, out) if st.wide_vocabulary else spark.read.parquet(out))
 
 
 def embedding_head(spark, sf_dir):
