@@ -313,3 +313,19 @@ def test_terms_in_buckets(spark, small, conf):
     scored = bayes.score_bayes(bayes.fit_bayes(rows, parts=5, facts=facts), rows, "category", facts=facts)
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan
+
+
+def test_fits_beside_each_other_fit_the_driver(spark, conf):
+    conf("spark.triagekit.driverFitBytes", 100 * 24 * 8)
+    assert [logistic.fits_at_once(spark, n) for n in (1, 20, 50, 100, 10_000)] == [8, 5, 2, 1, 1]
+
+
+def test_grid_counts_only_terms_that_a_setting_uses(spark, small, monkeypatch):
+    widths = []
+    whole = logistic.count_vectors
+    monkeypatch.setattr(logistic, "count_vectors", lambda words, m: widths.append((m, logistic.vector_length(out := whole(words, m), "term_counts"))) or out)
+    rare = small.unionByName(small.limit(3).select((F.col("doc_id") + 900).alias("doc_id"), F.concat("ticket_text", F.lit(" once"), "doc_id").alias("ticket_text"), "category"))
+    dev = Study(rare).texts("dev")
+    scores = logistic.logistic_grid(dev, 5, [1], [1, 3], [1.0])
+    assert [m for m, _ in widths] == [1, 3] and widths[0][1] > widths[1][1]
+    assert scores.groupBy("min_df").count().orderBy("min_df").collect() == [(1, 5), (3, 5)]
