@@ -329,3 +329,36 @@ def test_grid_counts_only_terms_that_a_setting_uses(spark, small, monkeypatch):
     scores = logistic.logistic_grid(dev, 5, [1], [1, 3], [1.0])
     assert [m for m, _ in widths] == [1, 3] and widths[0][1] > widths[1][1]
     assert scores.groupBy("min_df").count().orderBy("min_df").collect() == [(1, 5), (3, 5)]
+
+
+def test_a_pass_moves_weights_and_slopes_only(spark, small, conf, monkeypatch):
+    """Blocks and buckets are read as they lie, also where there are many; the fit is the same."""
+    rows = Study(small).cv_rows(Study(small).features)
+    whole, plans = softmax._updated, []
+
+    def kept(*args):
+        out = whole(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(softmax, "_updated", kept)
+    fit = lambda: softmax.fit_softmax(rows, [softmax.SoftmaxSpec(C=1.0)], 5)
+    one = fit()
+    assert all(p.count("Exchange hashpartitioning(b") == p.count("Exchange ") == 2 for p in plans)
+    conf("spark.triagekit.blockValues", 1500)
+    conf("spark.triagekit.bucketValues", 60)
+    many = fit()
+    weights = lambda m: {r.term: r.w for r in m.weights.collect()}
+    a, b = weights(one), weights(many)
+    assert a.keys() == b.keys() and all(a[t] == pytest.approx(b[t], abs=1e-3) for t in a)
+
+
+def test_inputs_of_unlike_size_converge_in_few_passes(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(120, 4)) * [0.01, 0.3, 3.0, 30.0]
+    y = (x / [0.01, 0.3, 3.0, 30.0]).sum(axis=1) + rnd.normal(size=120)
+    data = [(i, "ab"[int(y[i] > 0)], i % 2, x[i].tolist()) for i in range(120)]
+    rows = spark.createDataFrame(data, "doc_id long, category string, part int, embedding array<double>")
+    rows = rows.withColumn("terms", softmax.vector_terms()).drop("embedding")
+    model = softmax.fit_softmax(rows, [softmax.SoftmaxSpec(C=1.0, raw=True)], 2)
+    assert model.passes <= 15 and all(r.max_slope < 2e-5 for r in softmax.slopes(model, rows).collect())
