@@ -362,3 +362,13 @@ def test_inputs_of_unlike_size_converge_in_few_passes(spark):
     rows = rows.withColumn("terms", softmax.vector_terms()).drop("embedding")
     model = softmax.fit_softmax(rows, [softmax.SoftmaxSpec(C=1.0, raw=True)], 2)
     assert model.passes <= 15 and all(r.max_slope < 2e-5 for r in softmax.slopes(model, rows).collect())
+
+
+def test_weights_are_a_table_before_the_driver_is_sent_much(spark, small, conf, monkeypatch):
+    assert not Study(small).wide_vocabulary
+    conf("spark.triagekit.driverTerms", 10)
+    assert Study(small).wide_vocabulary and not Study._is_wide(Study(small).counted, 2)
+    monkeypatch.setattr(logistic, "fit_logistic", None)
+    st = Study(small)
+    answers = routing.classify(requests(spark), st.softmax_scorer())
+    assert answers.count() == 6

@@ -32,6 +32,8 @@ from triagekit.streaming.classify import classify_stream, classify_stream_pipeli
 
 #: Weights (fits x classes) of a term that a grid's fits hold at once; the optimiser keeps twenty arrays of them.
 GRID_WEIGHTS = 256
+#: Terms up to which the five fits of a cross-validation, a hundred passes each, send the driver under 1 GB of slopes.
+DRIVER_TERMS = 80_000
 
 
 def grid_specs() -> list[BayesSpec]:
@@ -165,13 +167,14 @@ class Study:
 
     @cached_property
     def wide_vocabulary(self) -> bool:
-        """Whether logistic regression has more terms than a driver may hold; its weights are then a table."""
-        return self._is_wide(self.counted, LR_NGRAM)
+        """Whether the fits of logistic regression have more terms than a driver should be sent in every pass; their
+        weights are then a table."""
+        return self._is_wide(self.counted, LR_NGRAM, setting(self.docs.sparkSession, "driverTerms", DRIVER_TERMS))
 
     @staticmethod
-    def _is_wide(rows: DataFrame, ngram_max: int) -> bool:
+    def _is_wide(rows: DataFrame, ngram_max: int, limit: int = MAX_VOCABULARY_ON_DRIVER) -> bool:
         terms = term_rows(rows).where(F.lit(ngram_max > 1) | (F.instr("term", " ") == 0)).select("term").distinct()
-        return terms.count() > setting(rows.sparkSession, "driverVocabulary", MAX_VOCABULARY_ON_DRIVER)
+        return terms.count() > min(limit, setting(rows.sparkSession, "driverVocabulary", MAX_VOCABULARY_ON_DRIVER))
 
     @cached_property
     def softmax_cv(self) -> softmax.SoftmaxModel:
