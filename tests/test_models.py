@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from triagekit import errors
 from triagekit.constants import STOP_WORDS
-from triagekit.operators import bayes, embed, evaluate, logistic, routing, softmax
+from triagekit.operators import bayes, embed, evaluate, logistic, routing, softmax, softmax_local
 from triagekit.plans.study import Study, grid_specs, with_top
 from triagekit.streaming import classify as streaming
 
@@ -372,3 +372,106 @@ def test_weights_are_a_table_before_the_driver_is_sent_much(spark, small, conf,
     st = Study(small)
     answers = routing.classify(requests(spark), st.softmax_scorer())
     assert answers.count() == 6
+
+
+def plain_objective(rows, C, part):
+    """Weights of one fit at the optimum, by Newton steps on dense arrays; rows are (id, part, label, {term: n})."""
+    train = [r for r in rows if r[1] != part]
+    names, labels = sorted({t for r in train for t in r[3]}), sorted({r[2] for r in rows})
+    df = np.array([sum(t in r[3] for r in train) for t in names])
+    idf = np.log((1 + len(train)) / (1 + df)) + 1
+
+    def vectors(some):
+        x = np.array([[r[3].get(t, 0) for t in names] for r in some]) * idf
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.hstack([np.divide(x, length, out=np.zeros_like(x), where=length > 0), np.ones((len(some), 1))])
+
+    X, n, k = vectors(train), len(train), len(labels)
+    Y = np.eye(k)[[labels.index(r[2]) for r in train]]
+    ridge = np.append(np.full(len(names), 1 / (C * n)), 1e-9)
+    w = np.zeros((k, X.shape[1]))
+    for _ in range(30):
+        P = np.exp(X @ w.T)
+        P /= P.sum(1, keepdims=True)
+        g = (P - Y).T @ X / n + ridge * w
+        hessian = np.zeros((w.size, w.size))
+        for a in range(k):
+            for b in range(k):
+                block = (X * (P[:, a] * ((a == b) - P[:, b]))[:, None]).T @ X / n
+                hessian[a * X.shape[1] : (a + 1) * X.shape[1], b * X.shape[1] : (b + 1) * X.shape[1]] = block + np.diag(ridge) * (a == b)
+        w -= np.linalg.solve(hessian, g.ravel()).reshape(w.shape)
+    held = [r for r in rows if r[1] == part]
+    P = np.exp(vectors(held) @ w.T)
+    return {r[0]: dict(zip(labels, p / p.sum())) for r, p in zip(held, P)}
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_fits_in_tasks_equal_newton_steps(spark, conf, local):
+    """Terms of a single row, repeated terms, empty texts, and rows without label or of no part included."""
+    if not local:
+        conf("spark.triagekit.fitBytes", 0)
+    rnd = np.random.default_rng(11)
+    data = []
+    for i in range(40):
+        words = [f"w{x}" for x in rnd.integers(0, 8, 5)] + [f"rare{i}"] * (i % 3) + [f"odd{i}"] * (i % 2)
+        data.append((i, i % 2, "abc"[(i + (words[0] > "w4")) % 3], {w: words.count(w) for w in words if i != 7}))
+    rows = [(*r[:3], [(t, n) for t, n in r[3].items()] if r[0] != 9 else None) for r in data]
+    features = spark.createDataFrame(rows, "doc_id long, part int, category string, terms array<struct<term:string,tf:int>>")
+    data = [r if r[0] != 9 else (*r[:3], {}) for r in data]
+    want = plain_objective(data, 10.0, 0) | plain_objective(data, 10.0, 1)
+    model = softmax_local.fit(features.repartition(3), parts=2, tolerance=1e-8)
+    assert all(r.max_slope < 1e-7 for r in softmax.slopes(model, features).collect())
+    docs = softmax_local.encode(features, [softmax.SoftmaxSpec()], 2)
+    assert (docs is not None) == local
+    found = [softmax.score_softmax(model, features)] + ([softmax_local.held_out(docs, tolerance=1e-8)] if local else [])
+    for df in found:
+        got = probabilities(df)
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-5) for i in want)
+
+
+def test_wide_grid_and_reports_need_few_jobs(spark, small, conf, monkeypatch):
+    """All fits of a fold in one task: no pass of the optimiser is a job, and no vocabulary is collected."""
+    monkeypatch.setattr(logistic, "count_vectors", None)
+    monkeypatch.setattr(softmax, "_updated", None)
+    conf("spark.triagekit.driverTerms", 10)
+    st = Study(small)
+    grid = st.logistic_grid(Cs=[1.0, 10.0], min_dfs=[1, 2], ngrams=[1, 2])
+    assert grid.count() == 2 * 2 * 2 * 5
+    assert st.logistic_oof.count() == 76 and st.candidate_summary.count() == 3
+
+
+@pytest.mark.slow
+def test_grid_and_holdout_beyond_a_task(spark, small, conf):
+    """Rows that no task may hold: tables of weights give the same scores."""
+    conf("spark.triagekit.driverTerms", 10)
+    key = lambda df: {(r.C, r.min_df, r.ngram_max, r.fold): r.macro_f1 for r in df.collect()}
+    asked = dict(Cs=[1.0], min_dfs=[1, 2], ngrams=[1, 2])
+    want, model = key(Study(small, folds=3).logistic_grid(**asked)), Study(small).final_softmax
+    conf("spark.triagekit.fitBytes", 0)
+    assert key(Study(small, folds=3).logistic_grid(**asked)) == pytest.approx(want, abs=1e-9)
+    other = Study(small).final_softmax
+    a, b = ({r.term: r.w for r in m.weights.collect()} for m in (model, other))
+    assert a.keys() == b.keys() and all(a[t] == pytest.approx(b[t], abs=1e-2) for t in a)
+
+
+def test_stored_table_of_weights_scores_the_same(spark, small, conf, tmp_path):
+    conf("spark.triagekit.driverTerms", 10)
+    st = Study(small)
+    rows = st.holdout_rows(st.features).where("part = 0")
+    softmax.save_softmax(st.final_softmax, str(tmp_path / "m"))
+    again = softmax.load_softmax(spark, str(tmp_path / "m"))
+    assert probabilities(softmax.score_softmax(again, rows)) == probabilities(softmax.score_softmax(st.final_softmax, rows))
+    conf("spark.triagekit.broadcastBytes", 1)
+    assert probabilities(softmax.score_softmax(again, rows)) == probabilities(softmax.score_softmax(st.final_softmax, rows))
+    with pytest.raises(errors.ModelNotFound):
+        softmax.load_softmax(spark, str(tmp_path / "none"))
+
+
+def test_score_sums_many_classes_as_vectors(spark, small, monkeypatch):
+    st = Study(small)
+    rows = st.cv_rows(st.features)
+    model = softmax_local.fit(rows, parts=5)
+    few = probabilities(softmax.score_softmax(model, rows))
+    monkeypatch.setattr(softmax, "SUM_COLUMNS", 1)
+    many = probabilities(softmax.score_softmax(model, rows))
+    assert few.keys() == many.keys() and all(few[i] == pytest.approx(many[i], abs=1e-9) for i in few)
