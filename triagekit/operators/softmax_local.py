@@ -128,8 +128,8 @@ class _Sums:
         out = np.zeros(self.n)
         for a, b, low, high in self.stretches:
             x = values.take(self.take[low:high], mode="clip")
-            if self.count is not None:
-                x = x * self.count[low:high].astype(float) ** power
+            for _ in range(power if self.count is not None else 0):
+                x *= self.count[low:high]
             out[self.to[a:b]] = np.add.reduceat(x, self.first[a:b] - low)
         return out
 
@@ -238,7 +238,7 @@ class _Part:
                 step /= 2
             else:
                 break  # no step gains anything: as near as numbers allow
-            past = [*past[1 - HISTORY :], (((trial - w) / scale).astype(np.float32), ((new - g) * scale).astype(np.float32))]
+            past = _remembered(past, (trial - w) / scale, (new - g) * scale)
             w, loss, g = trial, new_loss, new
         return w, float(np.abs(g).max(initial=0.0)), passes
 
@@ -253,20 +253,29 @@ class _Part:
         return out
 
 
-def _direction(g: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    return np.einsum("ij,ij->", a, b, dtype=float)
+
+
+def _remembered(past: list[tuple], s: np.ndarray, y: np.ndarray) -> list[tuple]:
+    """With a step and its change of slope, in single precision, and their products; without one that shows no curvature."""
+    s, y = s.astype(np.float32), y.astype(np.float32)
+    gain, square = _dot(s, y), _dot(y, y)
+    if gain <= 0 or gain <= 1e-14 * np.sqrt(_dot(s, s) * square):
+        return past
+    return [*past[1 - HISTORY :], (s, y, gain, square)]
+
+
+def _direction(g: np.ndarray, past: list[tuple]) -> np.ndarray:
     """The L-BFGS step by two loops over remembered steps and changes of slope."""
-    way, kept = -g, []
-    dot = lambda a, b: np.einsum("ij,ij->", a, b, dtype=float)
-    for s, y in reversed(past):
-        gain = dot(s, y)
-        if gain > 1e-14 * np.sqrt(dot(s, s) * dot(y, y)) and gain > 0:
-            a = dot(s, way) / gain
-            way -= a * y
-            kept.append((s, y, gain, a))
-    if kept:
-        way *= kept[0][2] / dot(kept[0][1], kept[0][1])
-    for s, y, gain, a in reversed(kept):
-        way += (a - dot(y, way) / gain) * s
+    way, shares = -g, []
+    for s, y, gain, _ in reversed(past):
+        shares.append(_dot(s, way) / gain)
+        way -= shares[-1] * y
+    if past:
+        way *= past[-1][2] / past[-1][3]
+    for (s, y, gain, _), a in zip(past, reversed(shares)):
+        way += (a - _dot(y, way) / gain) * s
     return way
 
 
