@@ -475,3 +475,12 @@ def test_score_sums_many_classes_as_vectors(spark, small, monkeypatch):
     monkeypatch.setattr(softmax, "SUM_COLUMNS", 1)
     many = probabilities(softmax.score_softmax(model, rows))
     assert few.keys() == many.keys() and all(few[i] == pytest.approx(many[i], abs=1e-9) for i in few)
+
+
+def test_repeated_ids_are_scored_row_by_row(spark, small):
+    st = Study(small)
+    model = softmax_local.fit(st.cv_rows(st.features), parts=5)
+    rows = st.cv_rows(st.features).limit(6)
+    twice = softmax.score_softmax(model, rows.unionByName(rows), "category")
+    once = probabilities(softmax.score_softmax(model, rows, "category"))
+    assert twice.count() == 12 and probabilities(twice) == once

@@ -558,12 +558,15 @@ def score_softmax(model: SoftmaxModel, features: DataFrame, *keep: str) -> DataF
     n, m = len(fits.specs) * classes, len(rules)
     # Sums for scores, and those of squares for vector lengths, from one look at each term.
     table = TermTable.measure(model.weights, 16 + 8 * (model.bias.size + len(fits.n_train) * m))
-    met = join_terms(term_rows(_used_terms(features, fits.specs), *keys, outer=True), table, ["w", "idf"], "doc_id")
+    # Ids may repeat: each row has a sum of its own. The id stays in the key, so rows never mix.
+    by = [*keys, "_row"]
+    rows = _used_terms(features, fits.specs).withColumn("_row", F.monotonically_increasing_id())
+    met = join_terms(term_rows(rows, *by, outer=True), table, ["w", "idf"], "doc_id")
     tf = F.col("tf")
     share = F.transform(F.slice("w", own * n + 1, F.lit(n)), lambda x: x * tf)
     square = F.transform(F.slice("idf", own * m + 1, F.lit(m)), lambda x: x * x * tf * tf)
     both = F.coalesce(F.concat(share, square), F.array_repeat(F.lit(0.0), n + m))
-    summed = _summed(met.select(*keys, both.alias("z")), keys, "z", n + m)
+    summed = _summed(met.select(*by, both.alias("z")), by, "z", n + m)
     length = lambda i: F.lit(1.0) if fits.specs[0].raw else F.sqrt(F.get("z", F.lit(n + rules.index(fits.specs[i].rule))))
     bias = F.lit(model.bias.ravel().tolist())
 
